@@ -66,7 +66,7 @@ ORACLE_SQL: dict[str, str] = {
     "blank_profile": f"SELECT count(*) AS n, count(*) FILTER (WHERE {CLEAN} = '') AS n_blank, bool_and({CLEAN} = '') AS all_blank FROM documents",
     "all_blank_labels": "SELECT doc_id, CAST(-1 AS INTEGER) AS cluster_label FROM documents",
     "tokenize": r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws FROM documents) SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS token FROM t",
-    "remove_stopwords": rf"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all({CLEAN}, '[\p{{L}}\p{{N}}_]{{2,}}'), w -> NOT list_contains({list(ENGLISH)}, w)) AS ws FROM documents) SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS token FROM t",
+    "remove_stopwords": rf"WITH t AS (SELECT doc_id, [w for w in regexp_extract_all({CLEAN}, '[\p{{L}}\p{{N}}_]{{2,}}') if NOT list_contains({list(ENGLISH)}, w)] AS ws FROM documents) SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS token FROM t",
     "term_frequencies": f"WITH {TERMS} SELECT doc_id, term, tf FROM tf",
     "vocabulary_topk": f"WITH {TERMS} SELECT term, term_idx, cf, df FROM vocab",
     "document_frequency": f"WITH {TERMS} SELECT term, df FROM stat",
