@@ -129,6 +129,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
         return pa.table([*[group.column(c) for c, _ in fields], *out], names=[*[c for c, _ in fields], *["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds)]])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c, _ in fields], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<long>, decoded string"] * with_content])
-    sent = d.select("_chunk", text_col).groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, words binary")
+    # both groupings take the same columns, so that Spark shuffles the texts once and reuses that exchange
+    sent = d.groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, words binary")
     back = sent.groupBy("bucket").applyInArrow(encode, "_chunk int, bucket int, ids binary")
     return d.groupBy("_chunk").cogroup(back.groupBy("_chunk")).applyInArrow(assemble, schema)
