@@ -4,7 +4,8 @@
 2. Each class has a MinHash signature, cut into ``TREES`` orders of ``DEPTH`` values. All classes are sorted by each order, and the candidates of a
    class are its neighbours there with the longest common prefixes: at most ``NEIGHBOURS`` before it, at least ``LEAST_DEPTH`` values in common. In a crowded region the
    nearest neighbours have long prefixes in common, in a sparse one short ones, so the depth adapts to the region, and the work is linear in any group.
-3. Each class is verified against its best candidate on full sets. That joins most of each group.
+3. Each class is verified against its best candidate on full sets, and then, in up to ``BEST_ROUNDS`` rounds, against its best candidate in another group.
+   That joins most of each group with at most one pair for each class and round.
 4. The orders are read again with the groups known, and only neighbours from different groups are candidates. They are verified best first for each
    pair of groups, in rounds that take more each time, until none is left between different groups.
 5. Groups are connected by alternating large-star and small-star steps.
@@ -35,6 +36,8 @@ TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
 #: Candidates whose signatures agree in less than this share are left out: four standard deviations below the similarity asked for.
 LEAST_ESTIMATE = 0.55
 MEMO_ENTRIES = 500_000
+#: Rounds of best candidates before all are taken; they only save work, what they leave is taken afterwards.
+BEST_ROUNDS = 4
 
 _rng = np.random.default_rng(20240501)
 MULTIPLY, ADD = (_rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -120,7 +123,7 @@ def _sorted_orders(classes: DataFrame) -> DataFrame:
 
 
 def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
-    """Candidate pairs (a, b, estimate) of classes with different labels; with ``best_only`` the best of each row."""
+    """Candidate pairs (row, a, b, estimate) of classes with different labels, ``row`` being the later one in the order; with ``best_only`` the best of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the last rows of the batch before
@@ -134,7 +137,7 @@ def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
             orders = np.column_stack([orders[:, 0].astype(np.uint16), orders[:, 1:].copy().view(">u2").astype(np.uint16)])
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
             best: dict[int, tuple[float, int]] = {}
-            pairs: dict[tuple[bytes, bytes], float] = {}
+            pairs: dict[tuple[bytes, bytes], tuple[bytes, float]] = {}
             for rows, before, estimate in neighbours(orders, sketches, least):
                 for i, j, e in zip(rows.tolist(), before.tolist(), estimate.tolist(), strict=True):
                     if i < old or lab[i] == lab[j]:
@@ -143,13 +146,14 @@ def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
                         if e > best.get(i, (0.0, 0))[0]:
                             best[i] = e, j
                     else:
-                        pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = e
+                        pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = cls[i], e
             for i, (e, j) in best.items():
-                pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = e
+                pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = cls[i], e
             kept = t.slice(max(0, len(cls) - NEIGHBOURS))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary()), pa.array(pairs.values(), pa.float64())], ["a", "b", "estimate"])
+            columns = [pa.array(c, pa.binary()) for c in ([r for r, _ in pairs.values()], [a for a, _ in pairs], [x for _, x in pairs])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in pairs.values()], pa.float64())], ["row", "a", "b", "estimate"])
 
-    return map_batches(_sorted_orders(classes), run, "a binary, b binary, estimate double")
+    return map_batches(_sorted_orders(classes), run, "row binary, a binary, b binary, estimate double")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -236,13 +240,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"))
     classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", F.col("class").alias("label")), "classes")
 
-    first = _scan(classes, True, least_estimate)
-    first = materialize(first.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
-    links = materialize(_verify(first, _texts(keyed, classes, first), shingle, percent), "links")
-    classes = _relabel(classes, links)
+    tried = None
+    for _ in range(BEST_ROUNDS):
+        best = _scan(classes, True, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        best = materialize(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if best.isEmpty():
+            break
+        tried = best if tried is None else tried.unionByName(best)
+        links = materialize(_verify(best, _texts(keyed, classes, best), shingle, percent), "links")
+        if links.isEmpty():
+            break
+        labels = classes.select("class", "label")
+        classes = _relabel(classes, links.join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
     left = materialize(_scan(classes, False, least_estimate).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
-    left = materialize(left.join(first, ["a", "b"], "left_anti"), "pairs")
+    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs") if tried is not None else left
     texts, most = (None, 2)
     while True:
         # best pairs first for each two groups; the ranks of a pair of groups come from the estimate's quantile, so no group of rows is sorted in one task
