@@ -6,8 +6,8 @@
    nearest neighbours have long prefixes in common, in a sparse one short ones, so the depth adapts to the region, and the work is linear in any group.
 3. Each class is verified against its best candidate on full sets, and then, in up to ``BEST_ROUNDS`` rounds, against its best candidate in another group.
    That joins most of each group with at most one pair for each class and round.
-4. The orders are read again with the groups known, and only neighbours from different groups are candidates. They are verified best first for each
-   pair of groups, in rounds that take more each time, until none is left between different groups.
+4. The orders are read again with the groups known, and only neighbours from different groups are candidates. The best of each two groups
+   are verified first, then all that are still between different groups.
 5. Groups are connected by alternating large-star and small-star steps.
 
 A link may be missed only by chance of the signatures: for a similarity of 0.75 with (1 - 0.75 ** 2) ** 12, less than 1 in 20000, and less for closer
@@ -37,7 +37,7 @@ TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
 LEAST_ESTIMATE = 0.55
 MEMO_ENTRIES = 500_000
 #: Rounds of best candidates before all are taken; they only save work, what they leave is taken afterwards.
-BEST_ROUNDS = 4
+BEST_ROUNDS = 2
 
 _rng = np.random.default_rng(20240501)
 MULTIPLY, ADD = (_rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -189,6 +189,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for each node in ``edges`` (a, b); alternating star steps until nothing moves."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = None
     while True:
         # large star: neighbours above a node are joined to its least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -198,9 +199,9 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        moved = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
         e = small
-        if moved:
+        before, state = state, tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+        if state == before:  # a digest of all edges has stayed the same
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -255,24 +256,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     left = materialize(_scan(classes, False, least_estimate).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
     left = materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs") if tried is not None else left
-    texts, most = (None, 2)
-    while True:
-        # best pairs first for each two groups; the ranks of a pair of groups come from the estimate's quantile, so no group of rows is sorted in one task
+    for part in (True, False):  # the best pairs of each two groups, then all that are still between different groups
         labels = classes.select("class", "label")
         open_ = left.join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
         open_ = materialize(open_.select("a", "b", "estimate", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")), "open")
         if open_.isEmpty():
             break
-        if texts is None:
+        if part:
             texts = _texts(keyed, classes, open_)
-        # dealt into ``most`` parts by hash, of which each gives its best
-        now = open_.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("part")).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b", "la", "lb")
-        now = materialize(now, "pairs")
+            now = open_.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(2)).alias("part")).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b", "la", "lb")
+            now = materialize(now, "pairs")
+            left = open_.select("a", "b", "estimate").join(now.select("a", "b"), ["a", "b"], "left_anti")
+        else:
+            now = open_
         good = materialize(_verify(now, texts, shingle, percent), "links")
-        left = materialize(open_.select("a", "b", "estimate").join(now.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        joined = good.join(now, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        classes = _relabel(classes, joined)
-        most *= 16
+        if not good.isEmpty():
+            classes = _relabel(classes, good.join(now, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
     groups = classes.groupBy("label").agg(F.min("least").alias("component"))
     named = classes.join(groups, "label").select("class", "component")
