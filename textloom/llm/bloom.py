@@ -21,17 +21,24 @@ class Bloom:
         self.bits = np.frombuffer(data, np.uint8).copy() if data else np.zeros(BLOOM_BYTES, np.uint8)
 
     @staticmethod
-    def places(hashes: np.ndarray) -> np.ndarray:
+    def place(hashes: np.ndarray, probe: int) -> np.ndarray:
         h = hashes.astype(np.int64).view(np.uint64)
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(a + np.uint64(i) * b) % np.uint64(BLOOM_BYTES * 8) for i in range(PROBES)]).astype(np.int64)
+        return (((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(BLOOM_BYTES * 8)).astype(np.int64)
 
     def add(self, hashes: np.ndarray) -> None:
-        for p in self.places(hashes):
+        for i in range(PROBES):
+            p = self.place(hashes, i)
             np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        return np.logical_and.reduce([self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in self.places(hashes)]).astype(bool)
+        """Whether each may have been added; a probe looks only at those that passed the one before."""
+        left = np.arange(len(hashes))
+        for i in range(PROBES):
+            p = self.place(hashes[left], i)
+            left = left[(self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
+        return out
 
 
 def filter_of(hashes: DataFrame) -> bytes:

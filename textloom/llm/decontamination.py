@@ -13,8 +13,8 @@ repeated, so that a passage in a third of all documents isn't one task's work.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,67 +23,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, filter_of
-from .common import map_batches, materialize, quote_columns
+from .common import map_batches, materialize, mix, quote_columns
 
-#: ASCII digits, ASCII letters (already lower-cased) and all bytes of characters beyond ASCII.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Lower-cases A-Z; what is no ASCII digit, no ASCII letter and no byte of a character beyond ASCII parts words.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+MEMO_ENTRIES = 500_000
 WINDOW, SHINGLE, SALTS = 10, 3, 8
 #: Windows' words are parted by a byte that no word has.
 SEP = b" "
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words of a whole text: A-Z lower-cased (bytes.lower changes nothing else), then runs of word characters."""
-    return WORD.findall(text.encode().lower()) if text else []
-
-
-def shingle_hash(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(SEP.join(words)) - (1 << 63)
+    """Words of a whole text: A-Z lower-cased, then runs of word characters."""
+    return text.encode().translate(FOLD).split() if text else []
 
 
 def windows_of(words: list[bytes], size: int) -> list[list[bytes]]:
     return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def shingles_of(window: list[bytes], size: int) -> list[tuple[int, int]]:
-    """(hash, offset) of the shingles of a window; one shorter than a shingle is a shingle itself."""
-    return [(shingle_hash(window[i : i + size]), i) for i in range(max(1, len(window) - size + 1))]
+class WordHashes(dict):
+    """Hashes of words, kept as they are asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-class Prober:
-    """Finds the places of a document whose shingle a filter may have.
+    def of(self, words: Iterator[bytes], n: int) -> np.ndarray:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
 
-    First a filter of the words that begin a shingle, through a bounded memo, then one of the whole shingles. ``sizes`` are the
-    shingles' lengths: items shorter than a shingle have shorter ones.
-    """
 
-    def __init__(self, bits: bytes, heads: bytes, sizes: list[int]):
-        self.sizes = sizes
-        self.shingles, self.heads = Bloom(bits), Bloom(heads)
-        self.memo: dict[bytes, bool] = {}
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles that begin at each word, from the words' hashes."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = mix(out) + words[i : i + n]
+    return mix(out).view(np.int64)
 
-    def starts(self, words: list[bytes]) -> list[int]:
-        """Positions of words that may begin a prefix shingle."""
-        memo = self.memo
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) > 500_000:
-                memo.clear()
-                new = list(set(words))
-            memo.update(zip(new, self.heads.has(np.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in new], np.int64)).tolist(), strict=True))
-        return [i for i, w in enumerate(words) if memo[w]]
 
-    def places(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(position, hash) of prefix shingles."""
-        at = [(i, shingle_hash(words[i : i + k])) for i in self.starts(words) for k in self.sizes if i + k <= len(words)]
-        if not at:
-            return []
-        ok = self.shingles.has(np.array([h for _, h in at], np.int64))
-        return [x for x, y in zip(at, ok.tolist(), strict=True) if y]
+class Prober:
+    """Finds the places in documents whose shingle a filter may have, for all texts of a batch at once.
 
+    ``sizes`` are the shingles' lengths: items shorter than a shingle have shorter ones.
+    """
+
+    def __init__(self, bits: bytes, sizes: list[int]):
+        self.filter, self.sizes, self.hashes = Bloom(bits), sizes, WordHashes()
 
-def _head(shingle: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(shingle[0]) - (1 << 63)
+    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position, hash) of prefix shingles in texts that are split into words."""
+        counts = np.array([len(w) for w in texts], np.int64)
+        ends = np.cumsum(counts)
+        words = self.hashes.of(chain.from_iterable(texts), int(counts.sum()))
+        found = []
+        for k in self.sizes:
+            h = shingle_hashes(words, k)
+            at = np.flatnonzero(self.filter.has(h))
+            text = np.searchsorted(ends, at, "right")
+            inside = at + k <= ends[text]  # else it runs into the next text
+            found.append((text[inside], (at - ends[text] + counts[text])[inside], h[at[inside]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -96,50 +98,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     rows = items.select(items[item_col].cast("string").alias("item"), items[item_text_col].alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             out = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in windows_of(words_of(text), window):
-                    out.append((item, SEP.join(w), len(w), [{"h": h, "o": o, "head": _head(w[o:])} for h, o in shingles_of(w, shingle)]))
+                words = words_of(text)
+                n = min(window, len(words))
+                k = min(shingle, n)
+                h = shingle_hashes(hashes.of(iter(words), len(words)), k).tolist()
+                for i, w in enumerate(windows_of(words, window)):
+                    out.append((item, SEP.join(w), n, [{"h": x, "o": o} for o, x in enumerate(h[i : i + n - k + 1])]))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.struct([("h", pa.int64()), ("o", pa.int32()), ("head", pa.int64())]))]
+            kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.struct([("h", pa.int64()), ("o", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item", "w", "n", "shingles"])
 
-    cuts = materialize(map_batches(rows, cut, "item string, w binary, n int, shingles array<struct<h:long,o:int,head:long>>"), "windows")
+    cuts = materialize(map_batches(rows, cut, "item string, w binary, n int, shingles array<struct<h:long,o:int>>"), "windows")
     owners = cuts.select("w", "item").distinct()
     windows = cuts.groupBy("w", "n").agg(F.first("shingles").alias("shingles"))
-    known = windows.select("w", "n", F.explode("shingles").alias("s")).select("w", "n", "s.h", "s.o", "s.head")
+    known = windows.select("w", "n", F.explode("shingles").alias("s")).select("w", "n", "s.h", "s.o")
 
     sizes = sorted(r[0] for r in cuts.select(F.least("n", F.lit(shingle))).distinct().collect())  # at most ``shingle`` numbers
 
     # rarity: in how many places of the corpus each of the items' shingles stands
     docs2 = docs.select(*quote_columns(docs, id_col, text_col))
-    all_bits, heads = filter_of(known.select("h")), filter_of(known.select("head"))
+    all_bits = filter_of(known.select("h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prober = Prober(all_bits, heads, sizes)
+        prober = Prober(all_bits, sizes)
         for b in batches:
-            found: dict[int, int] = {}
-            for text in b.column(0).to_pylist():
-                for _, h in prober.places(words_of(text)):
-                    found[h] = found.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["h", "places"])
+            _, _, found = prober.places([words_of(t) for t in b.column(0).to_pylist()])
+            h, places = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(places, pa.int64())], ["h", "places"])
 
     rarity = map_batches(docs2.select(text_col), count, "h long, places long").groupBy("h").agg(F.sum("places").alias("places"))
-    prefix = known.join(rarity, "h", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), F.col("h"), F.col("o"), F.col("head"))).alias("p"))
+    prefix = known.join(rarity, "h", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), F.col("h"), F.col("o"))).alias("p"))
     # a window of which some shingle stands nowhere can't occur
-    prefix = materialize(prefix.where(F.col("p.places") > 0).select("w", "n", "p.h", "p.o", "p.head"), "prefix")
-    bits, heads2 = filter_of(prefix.select("h")), filter_of(prefix.select("head"))
+    prefix = materialize(prefix.where(F.col("p.places") > 0).select("w", "n", "p.h", "p.o"), "prefix")
+    bits = filter_of(prefix.select("h"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prober = Prober(bits, heads2, sizes)
+        prober = Prober(bits, sizes)
         kind = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]))
         for b in batches:
-            n_words, found = [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                n_words.append(len(words))
-                found.append([{"h": h, "p": p, "left": SEP.join(words[max(0, p - window + 1) : p]), "right": SEP.join(words[p : p + window])} for p, h in prober.places(words)])
+            texts = [words_of(t) for t in b.column(1).to_pylist()]
+            n_words, found = [len(w) for w in texts], [[] for _ in texts]
+            for i, p, h in zip(*(x.tolist() for x in prober.places(texts)), strict=True):
+                found[i].append({"h": h, "p": p, "left": SEP.join(texts[i][max(0, p - window + 1) : p]), "right": SEP.join(texts[i][p : p + window])})
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(found, kind)], [id_col, "_key", "n_words", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()

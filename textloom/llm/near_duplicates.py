@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, filter_of
-from .common import map_batches, materialize, quote_columns
+from .common import map_batches, materialize, mix
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
@@ -45,13 +45,6 @@ PLACE = (_rng.integers(1, 1 << 63, SHINGLE * 8, dtype=np.uint64) << np.uint64(1)
 del _rng
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A fixed bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sets of hashed shingles of whole texts; word hashes are kept in a bounded memo."""
 
@@ -74,8 +67,8 @@ class Shingler:
         k = min(self.size, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
-            out = _mix(out) + h[i : len(h) - k + 1 + i] * PLACE[i]
-        return np.unique(_mix(out))
+            out = mix(out) + h[i : len(h) - k + 1 + i] * PLACE[i]
+        return np.unique(mix(out))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -83,7 +76,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
         np.minimum(least, (shingles[i : i + 2048, None] * MULTIPLY + ADD).min(0), out=least)
-    return (_mix(least) >> np.uint64(48)).astype(np.uint16)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def same_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
