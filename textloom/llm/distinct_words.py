@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, quote_columns, row_key
-from .tokenizing import WordEncoder, load_tokenizer
+from .tokenizing import load_tokenizer, word_encoder
 
 #: Bytes of text in a chunk, about; a longer text is a chunk's larger part.
 CHUNK_BYTES = 48 << 20
@@ -95,7 +95,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
         return pa.table(list(zip(*packets, strict=True)) or [[], [], []], pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary())]))
 
     def encode(group: pa.Table) -> pa.Table:
-        encoder, bucket = WordEncoder(tokenizer_path), group.column("bucket")[0].as_py()
+        encoder, bucket = word_encoder(tokenizer_path), group.column("bucket")[0].as_py()
         packets = [(c.as_py(), w.as_py().split(b"\n")) for c, w in zip(group.column("chunk"), group.column("words"), strict=True)]
         table = encoder.encode_words(dict.fromkeys(w for _, words in packets for w in words))
         return pa.table([[c for c, _ in packets], [bucket] * len(packets), [pack_ids([table[w] for w in words], width) for _, words in packets]], pa.schema([("_chunk", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary())]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, quote_columns
-from .tokenizing import WordEncoder, load_tokenizer
+from .tokenizing import load_tokenizer, word_encoder
 
 MAGIC, END = b"TLSST001", b"TLSSTEND"
 FOOTER = struct.Struct("<QQQQQQBI8s")
@@ -198,7 +198,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, end
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, out, name = WordEncoder(tokenizer_path), None, None, f"shard-{uuid.uuid4().hex}.sst"
+        encoder, writer, out, name = word_encoder(tokenizer_path), None, None, f"shard-{uuid.uuid4().hex}.sst"
         fs, root = file_system(folder)
         for b in batches:
             if not len(b):

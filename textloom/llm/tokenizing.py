@@ -10,13 +10,17 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, quote_columns
 
 MEMO_ENTRIES, MEMO_LONGEST, ENCODE_BYTES = 400_000, 40, 1 << 20
+#: Words that a worker remembers with their ids, about 200 bytes each, and words that are encoded as one text.
+WORD_ENTRIES, JOINED_WORDS = 800_000, 400
 
 #: A single space between two characters that are no white space: a byte-level BPE with the usual pattern always starts a
 #: piece there, since no piece has a space after its first character and a run of one space never ends in a look-ahead.
@@ -131,25 +135,53 @@ class WordEncoder:
     by character), so the ids of a text are those of its words in order.
     """
 
+    #: Parts words that are encoded as one text; a word that has it is encoded alone.
+    MARK = "\x01"
+
     def __init__(self, path: str):
         check_word_level(path)
         self.tok, self.memo = load_tokenizer(path), {}
+        self.mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
+
+    def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct words as little-endian unsigned 32-bit integers."""
-        out = {}
+        out, mark = {}, self.MARK.encode()
         for batch in balanced(words):
-            for w, e in zip(batch, self.tok.encode_batch_fast([x.decode() for x in batch], add_special_tokens=False), strict=True):
-                out[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+            odd = [w for w in batch if mark in w] if len(self.mark) == 1 else batch
+            out |= self._alone(odd)
+            groups = list(batched([w for w in batch if w not in out], JOINED_WORDS))
+            texts = [(b" %b " % mark).join(g).decode() + f" {self.MARK}" for g in groups]
+            for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+                if len(ends) != len(g):
+                    out |= self._alone(list(g))
+                    continue
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(g, ends, strict=True):
+                    out[w], at = raw[at:end], end + 4
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        memo, new = self.memo, {}
-        for words in split:
-            new.update(dict.fromkeys(w for w in words if w not in memo))
-        new = self.encode_words(new)
-        out = [b"".join([memo[w] if w in memo else new[w] for w in words]) for words in split]
-        if room := MEMO_ENTRIES - len(memo):
-            memo.update([(k, v) for k, v in new.items() if len(k) <= MEMO_LONGEST][:room])
+        memo = self.memo
+        new = self.encode_words(set().union(*split).difference(memo))
+        room = max(0, WORD_ENTRIES - len(memo))
+        memo.update(new)
+        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        short = 0
+        for w in new:
+            short += len(w) <= MEMO_LONGEST
+            if len(w) > MEMO_LONGEST or short > room:
+                del memo[w]
         return out
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process; what it remembers serves all tasks of that worker."""
+    return WordEncoder(path)
