@@ -257,6 +257,11 @@ def test_components(spark):
     got = {r.node: r.root for r in near_duplicates.connected(df).collect()}
     assert got == {str(i + 1000): str(r + 1000) for i, r in [(i, 0) for i in range(1, 41)] + [(i, 100) for i in range(101, 120)] + [(201, 200), (202, 200)]}
 
+    for per_part in (1, 7, 20):  # several parts, so that the star steps have work
+        got = near_duplicates.connected(df.repartition(5), per_part)
+        assert {r.node: r.root for r in got.collect()} == {str(i + 1000): str(r + 1000) for i, r in [(i, 0) for i in range(1, 41)] + [(i, 100) for i in range(101, 120)] + [(201, 200), (202, 200)]}
+        assert got.count() == 61
+
 
 # 8 BPE
 @pytest.mark.parametrize("chunk", [1 << 14, 1 << 26])
