@@ -118,7 +118,7 @@ def _sorted_orders(classes: DataFrame) -> DataFrame:
 
 
 def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
-    """Candidate pairs (row, a, b, estimate) of classes with different labels, ``row`` being the later one in the order; with ``best_only`` the best of each row."""
+    """Candidate pairs (row, a, b, la, lb, estimate) of classes with different labels ``la`` and ``lb``, ``row`` being the later one in the order; with ``best_only`` the best of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the last rows of the batch before
@@ -132,7 +132,7 @@ def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
             orders = np.column_stack([orders[:, 0].astype(np.uint16), orders[:, 1:].copy().view(">u2").astype(np.uint16)])
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
             best: dict[int, tuple[float, int]] = {}
-            pairs: dict[tuple[bytes, bytes], tuple[bytes, float]] = {}
+            pairs: dict[tuple[bytes, bytes], tuple[int, int, float]] = {}
             for rows, before, estimate in neighbours(orders, sketches, least):
                 for i, j, e in zip(rows.tolist(), before.tolist(), estimate.tolist(), strict=True):
                     if i < old or lab[i] == lab[j]:
@@ -141,14 +141,15 @@ def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
                         if e > best.get(i, (0.0, 0))[0]:
                             best[i] = e, j
                     else:
-                        pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = cls[i], e
+                        pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = i, j, e
             for i, (e, j) in best.items():
-                pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = cls[i], e
+                pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = i, j, e
             kept = t.slice(max(0, len(cls) - NEIGHBOURS))
-            columns = [pa.array(c, pa.binary()) for c in ([r for r, _ in pairs.values()], [a for a, _ in pairs], [x for _, x in pairs])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in pairs.values()], pa.float64())], ["row", "a", "b", "estimate"])
+            found = [(i, *((i, j) if cls[i] < cls[j] else (j, i)), e) for i, j, e in pairs.values()]
+            columns = [[cls[r] for r, *_ in found], [cls[i] for _, i, _, _ in found], [cls[j] for _, _, j, _ in found], [lab[i] for _, i, _, _ in found], [lab[j] for _, _, j, _ in found]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array([e for *_, e in found], pa.float64())], ["row", "a", "b", "la", "lb", "estimate"])
 
-    return map_batches(_sorted_orders(classes), run, "row binary, a binary, b binary, estimate double")
+    return map_batches(_sorted_orders(classes), run, "row binary, a binary, b binary, la binary, lb binary, estimate double")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """Links (a, b) between the labels ``la`` and ``lb`` of the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle)
@@ -177,8 +178,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
             ok = [same_enough(make(x), make(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
-    return map_batches(both.select("a", "b", "ta", "tb"), run, "a binary, b binary")
+    both = pairs.select("a", "b", "la", "lb").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+    return map_batches(both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb"), run, "a binary, b binary")
 
 
 def _contract(edges: DataFrame, parts: int) -> DataFrame:
@@ -271,35 +272,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     tried = None
     for _ in range(BEST_ROUNDS):
-        best = _scan(classes, True, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        best = _scan(classes, True, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b", "la", "lb")).alias("x")).select("x.a", "x.b", "x.la", "x.lb").distinct()
         best = materialize(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), "pairs")
         if best.isEmpty():
             break
-        tried = best if tried is None else tried.unionByName(best)
+        tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
         links = materialize(_verify(best, _texts(keyed, classes, best), shingle, percent), "links")
         if links.isEmpty():
             break
-        labels = classes.select("class", "label")
-        classes = _relabel(classes, links.join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        classes = _relabel(classes, links)
 
-    left = materialize(_scan(classes, False, least_estimate).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
+    left = materialize(_scan(classes, False, least_estimate).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.first("la").alias("la"), F.first("lb").alias("lb")), "pairs")
     left = materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs") if tried is not None else left
     for part in (True, False):  # the best pairs of each two groups, then all that are still between different groups
-        labels = classes.select("class", "label")
-        open_ = left.join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        open_ = materialize(open_.select("a", "b", "estimate", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")), "open")
+        open_ = left
+        if not part:  # labels have changed since the orders were read
+            labels = classes.select("class", "label")
+            open_ = left.select("a", "b", "estimate").join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+        open_ = open_.select("a", "b", "estimate", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+        open_ = open_ if part else materialize(open_, "open")
         if open_.isEmpty():
             break
         if part:
             texts = _texts(keyed, classes, open_)
             now = open_.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(2)).alias("part")).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b", "la", "lb")
             now = materialize(now, "pairs")
-            left = open_.select("a", "b", "estimate").join(now.select("a", "b"), ["a", "b"], "left_anti")
+            left = open_.join(now.select("a", "b"), ["a", "b"], "left_anti")
         else:
             now = open_
         good = materialize(_verify(now, texts, shingle, percent), "links")
         if not good.isEmpty():
-            classes = _relabel(classes, good.join(now, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            classes = _relabel(classes, good)
 
     groups = classes.groupBy("label").agg(F.min("least").alias("component"))
     named = classes.join(groups, "label").select("class", "component")
