@@ -251,6 +251,37 @@ def test_near_duplicates(spark, docs, none):
     assert by_row(near_duplicates.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == expect(brute_groups(rows))
 
 
+def test_near_duplicates_crowded(spark):
+    """Hundreds of texts at about 0.7 to each other: no pair may be lost because other texts lie between its two in every order."""
+    import random
+
+    rnd = random.Random(9)
+    body = [f"t{i}" for i in range(180)]
+
+    def text(tail):
+        return " ".join(body + tail)
+
+    rows = []
+    for k in range(250):
+        own = [f"x{k}a{i}" for i in range(40)]
+        rows.append((len(rows), text(own)))
+        if k < 40:
+            rows.append((len(rows), text([*own[:18], *(f"y{k}a{i}" for i in range(22))])))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_groups(rows)
+    assert sum(not kept for *_, kept in want) == 40
+    assert by_row(near_duplicates.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == expect(want)
+
+
+def test_all_pairs_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "RUN_ROWS", 7)
+    sig = bytes(2 * near_duplicates.TREES * near_duplicates.DEPTH)
+    classes = spark.createDataFrame([(bytes([i]), bytes([i % 3]), bytearray(sig), 10) for i in range(50)], "class binary, label binary, sig binary, n long").repartition(3)
+    got = [(bytes(r.a)[0], bytes(r.b)[0]) for r in near_duplicates._all(classes, 0.55, 75).collect()]
+    assert len(got) == near_duplicates.TREES * len(set(got)) and set(got) == {(i, j) for j in range(50) for i in range(j) if i % 3 != j % 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 120)] + [(200, 201), (201, 202), (202, 200)]
     df = spark.createDataFrame([(str(a + 1000), str(b + 1000)) for a, b in edges], "a string, b string")

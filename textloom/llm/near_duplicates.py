@@ -1,20 +1,20 @@
 """Near-duplicate groups by MinHash in an LSH forest.
 
 1. Documents become sets of hashed word shingles; equal sets are one class from then on, however many documents have them.
-2. Each class has a MinHash signature, cut into ``TREES`` orders of ``DEPTH`` values. All classes are sorted by each order, and the candidates of a
-   class are its neighbours there with the longest common prefixes: at most ``NEIGHBOURS`` before it, at least ``LEAST_DEPTH`` values in common. In a crowded region the
-   nearest neighbours have long prefixes in common, in a sparse one short ones, so the depth adapts to the region, and the work is linear in any group.
+2. Each class has a MinHash signature, cut into ``TREES`` orders of ``DEPTH`` values. All classes are sorted by each order, and the first candidates of a
+   class are its neighbours there with the longest common prefixes: at most ``NEIGHBOURS`` before it, at least ``LEAST_DEPTH`` values in common.
 3. Each class is verified against its best candidate on full sets, and then, in up to ``BEST_ROUNDS`` rounds, against its best candidate in another group.
    That joins most of each group with at most one pair for each class and round.
-4. The orders are read again with the groups known, and only neighbours from different groups are candidates. The best of each two groups
-   are verified first, then all that are still between different groups.
+4. Then every two classes of different groups that have the first ``LEAST_DEPTH`` values of an order in common are compared, however many have them: long
+   runs are split into cells of bounded size. The best of each two groups are verified first, then all that are still between different groups.
 5. Groups are connected by turning parts of bounded size into stars and by alternating large-star and small-star steps between the parts.
 
-A link may be missed only by chance of the signatures: for a similarity of 0.75 with (1 - 0.75 ** 2) ** 12, less than 1 in 20000, and less for closer
-texts or those that are linked in more than one way; links that are reported are exact.
+A link may be missed only by chance of the signatures: for a similarity of 0.75 if no order has the prefix in common, (1 - 0.75 ** 2) ** 12 or 1 in 20000, or if
+fewer than 40 of 72 values agree, 1 in 10000; less for closer texts or those that are linked in more than one way; links that are reported are exact.
 
-Hot groups: equal sets are pre-aggregated; near copies differ in their signatures' order or tie-break, so range partitioning deals them out; a document in very
-many pairs is an ordinary skewed join, which adaptive execution splits. Nothing about all documents reaches the driver.
+Hot groups: equal sets are pre-aggregated; near copies differ in their signatures' order or tie-break, so range partitioning deals them out, and runs of one group
+are left out of step 4; a document in very many pairs is an ordinary skewed join, which adaptive execution splits. The work of step 4 is quadratic in a run of
+many groups whose texts are all nearly similar enough. Nothing about all documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ LEAST_ESTIMATE = 0.55
 MEMO_ENTRIES = 500_000
 #: Rounds of best candidates before all are taken; they only save work, what they leave is taken afterwards.
 BEST_ROUNDS = 2
+#: Rows of a run in one part; two parts make a cell, whose pairs one task compares. Pairs that a task holds before it gives them on.
+RUN_ROWS, HELD_PAIRS = 4096, 50_000
 #: Edges that one task turns into stars at once, some tens of MB.
 EDGES_PER_PART = 200_000
 
@@ -117,8 +119,8 @@ def _sorted_orders(classes: DataFrame) -> DataFrame:
     return out.repartitionByRange("place", "class").sortWithinPartitions("place", "class")
 
 
-def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
-    """Candidate pairs (row, a, b, la, lb, estimate) of classes with different labels ``la`` and ``lb``, ``row`` being the later one in the order; with ``best_only`` the best of each row."""
+def _best(classes: DataFrame, least: float) -> DataFrame:
+    """The best candidate pair (row, a, b, la, lb, estimate) of each class among its neighbours with another label; ``la`` and ``lb`` are the labels, ``row`` is the later one in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None  # the last rows of the batch before
@@ -132,26 +134,93 @@ def _scan(classes: DataFrame, best_only: bool, least: float) -> DataFrame:
             orders = np.column_stack([orders[:, 0].astype(np.uint16), orders[:, 1:].copy().view(">u2").astype(np.uint16)])
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cls), -1)
             best: dict[int, tuple[float, int]] = {}
-            pairs: dict[tuple[bytes, bytes], tuple[int, int, float]] = {}
             for rows, before, estimate in neighbours(orders, sketches, least):
                 for i, j, e in zip(rows.tolist(), before.tolist(), estimate.tolist(), strict=True):
-                    if i < old or lab[i] == lab[j]:
-                        continue
-                    if best_only:
-                        if e > best.get(i, (0.0, 0))[0]:
-                            best[i] = e, j
-                    else:
-                        pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = i, j, e
-            for i, (e, j) in best.items():
-                pairs[min(cls[i], cls[j]), max(cls[i], cls[j])] = i, j, e
+                    if i >= old and lab[i] != lab[j] and e > best.get(i, (0.0, 0))[0]:
+                        best[i] = e, j
             kept = t.slice(max(0, len(cls) - NEIGHBOURS))
-            found = [(i, *((i, j) if cls[i] < cls[j] else (j, i)), e) for i, j, e in pairs.values()]
+            found = [(i, *((i, j) if cls[i] < cls[j] else (j, i)), e) for i, (e, j) in best.items()]
             columns = [[cls[r] for r, *_ in found], [cls[i] for _, i, _, _ in found], [cls[j] for _, _, j, _ in found], [lab[i] for _, i, _, _ in found], [lab[j] for _, _, j, _ in found]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array([e for *_, e in found], pa.float64())], ["row", "a", "b", "la", "lb", "estimate"])
 
     return map_batches(_sorted_orders(classes), run, "row binary, a binary, b binary, la binary, lb binary, estimate double")
 
 
+def _all(classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Every pair (a, b, la, lb, estimate) of classes with different labels that have the prefix of an order in common; a pair comes once for each such order.
+
+    A run of one label has no pairs and is left out. Other runs are dealt into parts of about ``RUN_ROWS`` rows, and each two parts are one cell.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
+            sketch = pa.array([x.tobytes() for x in sig.reshape(len(sig), -1).astype(np.uint8)], pa.binary())
+            for t in range(TREES):
+                place = [bytes([t]) + x.tobytes() for x in sig[:, t, :LEAST_DEPTH]]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(place, pa.binary()), sketch], ["class", "label", "n", "run", "sketch"])
+
+    rows = map_batches(classes.select("class", "label", "sig", "n"), prefixes, "class binary, label binary, n long, run binary, sketch binary")
+    mixed = rows.groupBy("run").agg(F.count("*").alias("rows"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("run", F.ceil(F.col("rows") / RUN_ROWS).alias("parts"))
+    rows = rows.join(mixed, "run").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).select("run", "cell", "class", "label", "n", "part", "sketch")
+    cells = cells.repartition("run", "cell").sortWithinPartitions("run", "cell", "class")
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        run, label = (t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("run", "label"))
+        cell, n, part = (t.column(c).to_numpy() for c in ("cell", "n", "part"))
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(run), -1)
+        group = np.concatenate([[0], np.cumsum((run[1:] != run[:-1]) | (cell[1:] != cell[:-1]))])
+        start = np.searchsorted(group, group)
+        split = np.maximum.reduceat(part, np.unique(start))[group] != np.minimum.reduceat(part, np.unique(start))[group]  # a cell of two parts
+        held, many, shift, later = [], 0, 0, np.arange(len(run))
+
+        def give() -> pa.RecordBatch:
+            r, q, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [t.column(c).combine_chunks().take(pa.array(i)) for c, i in (("class", q), ("class", r), ("label", q), ("label", r))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(e)], ["a", "b", "la", "lb", "estimate"])
+
+        while len(later := later[later - start[later] > shift]):
+            shift += 1
+            q = later - shift
+            small, large = np.minimum(n[later], n[q]), np.maximum(n[later], n[q])
+            r = later[(label[later] != label[q]) & (~split[later] | (part[later] != part[q])) & (100 * small >= percent * large)]
+            for r in np.array_split(r, len(r) // 4096 + 1):
+                e = (sketches[r] == sketches[r - shift]).mean(1)
+                ok = e >= least
+                if ok.any():
+                    held.append((r[ok], r[ok] - shift, e[ok]))
+                    many += int(ok.sum())
+            if many >= HELD_PAIRS:
+                yield give()
+                held, many = [], 0
+        if held:
+            yield give()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []  # rows of the last cell so far
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            cut = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), -1) + 1  # where the batch's last cell begins
+            if cut or keys[0] != last:
+                done = [*waiting, t.slice(0, cut)]
+                if sum(map(len, done)):
+                    yield from compare(pa.concat_tables(done))
+                waiting = []
+            waiting.append(t.slice(cut))
+            last = keys[-1]
+        if waiting:
+            yield from compare(pa.concat_tables(waiting))
+
+    return map_batches(cells, pairs, "a binary, b binary, la binary, lb binary, estimate double")
+
+
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``class`` and ``text`` of the classes in pairs, each from one document; others are left out by a filter of fixed size before the shuffle."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class")
@@ -238,7 +307,7 @@ def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` with labels joined along links between labels."""
     roots = connected(links)
     out = classes.join(roots, classes["label"] == roots["node"], "left")
-    return materialize(out.select("class", "doc", "least", "sig", F.coalesce("root", "label").alias("label")), "classes")
+    return materialize(out.select("class", "doc", "least", "sig", "n", F.coalesce("root", "label").alias("label")), "classes")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -267,12 +336,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 ["doc", "id", "n_shingles", "class", "sig"])
 
     rows = materialize(map_batches(keyed, sets, f"doc long, id {kind}, n_shingles long, class binary, sig binary"), "sets")
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"))
-    classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", F.col("class").alias("label")), "classes")
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", "n", F.col("class").alias("label")), "classes")
 
     tried = None
     for _ in range(BEST_ROUNDS):
-        best = _scan(classes, True, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b", "la", "lb")).alias("x")).select("x.a", "x.b", "x.la", "x.lb").distinct()
+        best = _best(classes, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b", "la", "lb")).alias("x")).select("x.a", "x.b", "x.la", "x.lb").distinct()
         best = materialize(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), "pairs")
         if best.isEmpty():
             break
@@ -282,7 +351,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         classes = _relabel(classes, links)
 
-    left = materialize(_scan(classes, False, least_estimate).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.first("la").alias("la"), F.first("lb").alias("lb")), "pairs")
+    left = materialize(_all(classes, least_estimate, percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.first("la").alias("la"), F.first("lb").alias("lb")), "pairs")
     left = materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs") if tried is not None else left
     for part in (True, False):  # the best pairs of each two groups, then all that are still between different groups
         open_ = left
