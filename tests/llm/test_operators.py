@@ -333,6 +333,13 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.quality_rules(copies).where("kept").count() == 40
 
 
+def test_quality_rules_long_lines(spark):
+    passage = [" ".join(f"p{k}word{i}" for i in range(60)) for k in "abc"]
+    rows = [(i, "\n".join([*passage, f"own line {chr(97 + i % 26)}"]), "h") for i in range(30)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.n_words_left == 3 and not r.kept and not r.base_failed for r in got) and len(got) == 30
+
+
 # 10 quality classifier
 def test_quality_classifier(spark, none):
     import random

@@ -5,7 +5,7 @@ limit are boilerplate and count as removed; a document of which too little remai
 rules on a document alone (word count and repeated three-word windows).
 
 Exact copies of a text count as one document, so a page that a host serves many times does not turn its own lines into
-boilerplate; and lines of more than ``max_line_words`` words are passages, which deduplication handles, not boilerplate.
+boilerplate. Lines of every length take part.
 
 Hot groups: counts are pre-aggregated in each map task, first by (host, line, text) and then by (host, line), so a host or
 line with a third of all rows costs one row per map task. The join back to lines is an ordinary equi-join that adaptive
@@ -69,12 +69,12 @@ def normal_line(line: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50,
-    min_line_docs: int = 20, line_percent: int = 1, max_line_words: int = 25, min_left_percent: int = 30,
+    min_line_docs: int = 20, line_percent: int = 1, min_left_percent: int = 30,
 ) -> DataFrame:
     """One row per document with its counts, ``base_failed``, the words left without frequent lines, and ``kept``.
 
-    A line is frequent on a host if it has at most ``max_line_words`` words and stands in ``min_line_docs`` distinct texts
-    or more that make up at least ``line_percent`` of the host's distinct texts. A document is depleted if fewer than
+    A line is frequent on a host if it stands in ``min_line_docs`` distinct texts or more that make up at least
+    ``line_percent`` of the host's distinct texts. A document is depleted if fewer than
     ``min_left_percent`` of its words are left.
     """
     d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0})).select(
@@ -87,8 +87,8 @@ def quality_rules(
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"))
 
-    short = F.filter(F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w"))), lambda x: x["w"] <= max_line_words)
-    each = d.select("_key", "_host", "_content", F.explode(short).alias("_l")).select("_key", "_host", "_content", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w"))
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w")))
+    each = d.select("_key", "_host", "_content", F.explode(hashed).alias("_l")).select("_key", "_host", "_content", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w"))
     seen = each.groupBy("_host", "_line", "_content").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.sum("_one").alias("_docs"))
     hosts = d.groupBy("_host", "_content").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.sum("_one").alias("_all"))
     frequent = seen.where(F.col("_docs") >= min_line_docs).join(hosts.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2"))).where(F.col("_docs") * 100 >= F.col("_all") * line_percent)
