@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, near-duplicates, decontamination, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the last return the
-columns of ``documents``. A stage that decides by identifier removes every row of a rejected identifier, null included.
+columns of ``documents``. Verdicts are on rows, so a rejected row never takes others with it that share its identifier; rows that are equal in all columns
+have one verdict, and the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
@@ -20,25 +21,34 @@ from textloom.llm.secrets import scan_secrets
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, an identifier of the whole row: ordered by ``doc_id`` with null last, then by a digest of all columns."""
+    parts = [p for c in COLUMNS for p in (F.col(c).isNull(), F.col(c))]
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g")).alias("_row"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the identifiers in ``rejected``; Spark broadcasts those only if they are below its size limit."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
+    """``docs`` less the rows in ``rejected``; Spark broadcasts those only if they are below its size limit."""
+    gone = rejected.select(F.col("_row").alias("_gone")).distinct()
+    return docs.join(gone, docs["_row"] == gone["_gone"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    docs = _with_rows(docs)
+    return _without(docs, quality_rules(docs, id_col="_row").where(~F.col("kept"))).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least identifier."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    docs = _with_rows(docs)
+    return _without(docs, near_duplicates(docs, id_col="_row").where(~F.col("kept"))).dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    docs = _with_rows(docs)
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").where("contaminated")).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

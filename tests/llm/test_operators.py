@@ -372,3 +372,17 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == list(pipeline.COLUMNS) and {r.doc_id for r in docs.collect()} == want
     assert docs.where("doc_id = 3").first().text.endswith("[assign]") and docs.where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """A rejected row takes no other row of its identifier with it, and one of equal or nearly equal rows is kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    item = "the item that must not be found in any of these texts"
+    rows = [(None, body(1)), (None, "too short"), (None, body(2)), (None, body(2) + " tail"), (None, f"{body(3)} {item}"), (4, body(4)), (4, body(5)), (4, body(4)), (4, "short"), (5, body(6)), (5, body(6) + " tail"), (None, body(6))]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for _, stage in pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in docs.collect())
+    assert got == [("4", "word4x0"), ("4", "word5x0"), ("5", "word6x0"), ("None", "word1x0"), ("None", "word2x0")]
