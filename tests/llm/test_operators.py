@@ -86,6 +86,12 @@ def test_html(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_teasers():
+    story = ["many words of the story itself " * 8] * 4
+    page = "".join(f"<article><h3>Teaser {k}</h3><p>A short line.</p></article>" for k in range(3)) + "<nav>x</nav>" * 3 + "<div>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    assert html_text.main_text(page).split("\n\n") == [x.strip() for x in story]
+
+
 # 3 token counts
 def test_token_counts(docs, none):
     path = tokenizer_path("byte_bpe_50k.json")

@@ -3,7 +3,8 @@
 Markup is stripped to lines, one for each block of the page. The text lengths of a sliding window of lines (a line-block) rise at
 the surge point of the article and fall to nothing at its dive point; the text between is kept. Elements that can't be
 article text (scripts, menus, headers, footers, side bars, notices, adverts, forms, reader comments) leave empty lines, so that they form the
-valleys between which the article stands out. Text in links counts for less than other text.
+valleys between which the article stands out. Text in links counts for less than other text. Surge and dive are found on every page; an element for the main
+text bounds the article only if it holds more text than the largest region outside it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import map_batches, quote_columns
 
 #: Lines in a line-block, and the length from which a block is a surge.
 WINDOW, SURGE = 3, 60
-#: Without an element for the main text, other regions stay if they have this share of the largest one.
+#: Without an element that bounds the article, other regions stay if they have this share of the largest one.
 OTHER_SHARE = 0.3
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>)", re.S)
@@ -165,12 +166,14 @@ def main_text(page: str | None) -> str:
         return ""
     lines, links, mains = page_lines(page)
     sizes = [max(0, len(x) - n) for x, n in zip(lines, links, strict=True)]
-    if any(inside and n for inside, n in zip(mains, sizes, strict=True)):
+    regions = between_surge_and_dive(sizes, SURGE, WINDOW)
+    inside_size = sum(n for n, inside in zip(sizes, mains, strict=True) if inside)
+    outside_size = max((sum(n for n, inside in zip(sizes[s:e], mains[s:e], strict=True) if not inside) for s, e in regions), default=0)
+    if inside_size and inside_size >= outside_size:
         # an element bounds the article: any text in it is a surge, and only its end is a dive
         regions = between_surge_and_dive([len(x) if inside else 0 for x, inside in zip(lines, mains, strict=True)], 1, len(lines))
         keep = {i for s, e in regions for i in range(s, e) if mains[i]}
     else:
-        regions = between_surge_and_dive(sizes, SURGE, WINDOW)
         largest = max((sum(sizes[s:e]) for s, e in regions), default=0)
         keep = {i for s, e in regions if sum(sizes[s:e]) >= OTHER_SHARE * largest for i in range(s, e) if links[i] < 0.7 * len(lines[i])}
     return "\n\n".join(lines[i] for i in sorted(keep) if lines[i])
