@@ -34,9 +34,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    docs = _with_rows(docs)
-    return _without(docs, quality_rules(docs, id_col="_row").where(~F.col("kept"))).select(*COLUMNS)
+    """Documents that the quality rules keep, without the lines that are frequent on their host."""
+    out = quality_rules(docs, cleaned=True, keep=("lang", "source")).where("kept")
+    return out.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,6 +346,18 @@ def test_quality_rules_long_lines(spark):
     assert all(r.n_words_left == 3 and not r.kept and not r.base_failed for r in got) and len(got) == 30
 
 
+def test_quality_lines_removed(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = [f"Accept all cookies {i}\n{own(i)}\n\nAll rights reserved" for i in range(26)]
+    rows = [(i, t, "en", "h", len(t)) for i, t in enumerate(texts)] + [(50, own(3) + "\n\nAll rights reserved", "de", None, 0)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = by_row(pipeline.quality(spark, df, str(tmp_path)), *pipeline.COLUMNS)
+    bare = {i: t.replace("\n\nAll rights reserved", "\n") for i, t in enumerate(texts)}
+    want = [(i, bare[i], "en", "h", len(bare[i])) for i in [0, *range(26)]] + [(50, rows[-1][1], "de", None, len(rows[-1][1]))]
+    assert got == expect(want)
+
+
 # 10 quality classifier
 def test_quality_classifier(spark, none):
     import random

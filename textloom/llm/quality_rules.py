@@ -69,21 +69,22 @@ def normal_line(line: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50,
-    min_line_docs: int = 20, line_percent: int = 1, min_left_percent: int = 30,
+    min_line_docs: int = 20, line_percent: int = 1, min_left_percent: int = 30, cleaned: bool = False, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document with its counts, ``base_failed``, the words left without frequent lines, and ``kept``.
 
     A line is frequent on a host if it stands in ``min_line_docs`` distinct texts or more that make up at least
-    ``line_percent`` of the host's distinct texts. A document is depleted if fewer than
+    ``line_percent`` of the host's distinct texts. With ``cleaned`` the column ``cleaned`` has the text without its frequent lines; columns named in ``keep`` are returned too. A document is depleted if fewer than
     ``min_left_percent`` of its words are left.
     """
-    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0})).select(
-        F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_key(id_col, host_col, text_col).alias("_key"), F.xxhash64(text_col).alias("_content"))
+    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).select(
+        *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_key(id_col, host_col, text_col).alias("_key"), F.xxhash64(text_col).alias("_content"))
 
     lines = F.filter(F.split("_text", "\n"), has_word)
-    rows = d.select("_id", "_key", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
+    kept = [f"_keep_{c}" for c in keep]
+    rows = d.select(*kept, "_id", "_key", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
     rows = rows.select(
-        "_id", "_key", F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
+        *kept, "_id", "_key", *(["_text"] if cleaned else []), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"))
 
@@ -97,9 +98,12 @@ def quality_rules(
     # a document's occurrences of a line as one row; rows that repeat as a whole share the key and must not add up
     copies = d.groupBy("_key").agg(F.count("*").alias("_copies"))
     gone = each.groupBy("_key", "_host", "_line").agg(F.sum("_w").alias("_w")).join(frequent, (F.col("_line") == F.col("_fline")) & F.col("_host").eqNullSafe(F.col("_fhost")), "left_semi")
-    gone = gone.groupBy("_key").agg(F.sum("_w").alias("_w")).join(copies, "_key").select("_key", (F.col("_w") / F.col("_copies")).cast("long").alias("_gone"))
+    hashes = [F.collect_set("_line").alias("_frequent")] if cleaned else []
+    gone = gone.groupBy("_key").agg(F.sum("_w").alias("_w"), *hashes).join(copies, "_key").select("_key", *(["_frequent"] if cleaned else []), (F.col("_w") / F.col("_copies")).cast("long").alias("_gone"))
 
     left = F.col("n_words") - F.coalesce("_gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = rows.join(gone, "_key", "left").select("_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_words_left"))
+    rest = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_frequent", F.xxhash64(normal_line(x))))
+    extra = [F.when(F.col("_frequent").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n")).alias("cleaned")] if cleaned else []
+    out = rows.join(gone, "_key", "left").select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], *extra, "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_words_left"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") * 100 >= F.col("n_words") * min_left_percent)).withColumnRenamed("_id", id_col)
