@@ -378,6 +378,11 @@ def test_quality_classifier(spark, none):
     assert (again.value == model.value).all()
 
 
+def test_long_word_features():
+    for n in (1, 61, 62, 63, 500):
+        assert len(quality_classifier.word_features("x" * n)) == 1 + n + max(0, n - 1)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     body = lambda k: " ".join(f"word{k}x{i}" for i in range(80))

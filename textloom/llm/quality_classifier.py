@@ -21,7 +21,7 @@ from .common import map_batches, quote_columns
 #: Labelled rows to learn from, at most: those with the least hashes of their identifiers. This is the only bound on what is read.
 MAX_TRAINING_ROWS = 2500
 BUCKETS, DIMENSIONS, EPOCHS, RATE, GRAMS = 1 << 17, 8, 6, 0.5, (3, 4)
-MEMO_ENTRIES, MEMO_LONGEST, WORD_LONGEST = 300_000, 40, 64
+MEMO_ENTRIES, MEMO_LONGEST = 300_000, 40
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,12 +30,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams with end marks; a very long word counts by n-grams that don't overlap."""
+    """Buckets of a word and of all its n-grams with end marks."""
     marked = f"<{word}>".encode()
-    step = 1 if len(marked) <= WORD_LONGEST else 4
     out = [zlib.crc32(b"w" + marked) % BUCKETS]
     for n in GRAMS:
-        out += [zlib.crc32(marked[i : i + n]) % BUCKETS for i in range(0, len(marked) - n + 1, step)]
+        out += [zlib.crc32(marked[i : i + n]) % BUCKETS for i in range(len(marked) - n + 1)]
     return out
 
 
