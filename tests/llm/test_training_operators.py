@@ -280,12 +280,65 @@ def test_near_duplicates_crowded(spark):
     assert by_row(near_duplicates.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == expect(want)
 
 
-def test_all_pairs_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "RUN_ROWS", 7)
-    sig = bytes(2 * near_duplicates.TREES * near_duplicates.DEPTH)
-    classes = spark.createDataFrame([(bytes([i]), bytes([i % 3]), bytearray(sig), 10) for i in range(50)], "class binary, label binary, sig binary, n long").repartition(3)
-    got = [(bytes(r.a)[0], bytes(r.b)[0]) for r in near_duplicates._all(classes, 0.55, 75).collect()]
-    assert len(got) == near_duplicates.TREES * len(set(got)) and set(got) == {(i, j) for j in range(50) for i in range(j) if i % 3 != j % 3}
+def test_near_duplicates_template_crowd(spark):
+    """3000 texts that share a template; half of them have one partner at 0.75 to 0.77, and any two others are at about 0.7."""
+    import random
+
+    rnd, rows, n = random.Random(4), [], 3000
+    body = [f"t{i}" for i in range(200)]
+    for k in range(n // 2):
+        own = [f"x{k}a{i}" for i in range(38)]
+        other = [*own[:5], *(f"y{k}a{i}" for i in range(33))]
+        rows += [(2 * k, " ".join(body + own)), (2 * k + 1, " ".join(body + (other if k % 2 else [f"z{k}a{i}" for i in range(40)])))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.75 <= similarity(2, 3) < 0.77 and 0.68 < similarity(0, 1) < 0.75 and 0.68 < similarity(2, 5) < 0.75
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(df).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(1, n // 2, 2))
+    assert found / (n // 4) >= 0.99
+    assert sum(c != i for i, c in got.items()) == found  # and nothing else is linked
+
+
+def test_exact_links():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        base = rng.integers(0, 1 << 60, 50, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 50), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(40)]
+        label, part = rng.integers(0, 25, 40), rng.integers(0, 1 + trial % 2, 40)
+        label = np.unique(label, return_inverse=True)[1]
+
+        def joined(links):
+            root = {x: x for x in label.tolist()}
+            for i, j in links:
+                a, b = root[label[i]], root[label[j]]
+                root = {k: a if v == b else v for k, v in root.items()}
+            return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+        two = len(set(part.tolist())) > 1
+        want = [(i, j) for j in range(40) for i in range(j) if label[i] != label[j] and not (two and part[i] == part[j]) and near_duplicates.same_enough(sets[i], sets[j], 75)]
+        got = near_duplicates.exact_links(sets, label, part, 75)
+        assert all(near_duplicates.same_enough(sets[i], sets[j], 75) for i, j in got) and joined(got) == joined(want)
+
+
+@pytest.mark.parametrize("most", [1000, 7])
+def test_cells(spark, most):
+    """Every two rows of a key with different labels meet in exactly one cell; rows of the largest label don't when there are several parts."""
+    rows = [(k, bytes([k, i]), bytes([i % 3 if k else 0 if i < 40 else i]), 1) for k in range(2) for i in range(50)] + [(2, bytes([2, i]), b"x", 1) for i in range(9)]
+    df = spark.createDataFrame([(k, c, bytearray(l), n) for k, c, l, n in rows], "run int, class binary, label binary, one long")
+    cells = collections.defaultdict(list)
+    for r in near_duplicates._cells(df, "run", "one", most).collect():
+        cells[r.run, r.cell].append((bytes(r["class"]), bytes(r.label), r.part))
+    met = collections.Counter()
+    for rows_ in cells.values():
+        two = len({p for *_, p in rows_}) > 1
+        met.update(frozenset((a, b)) for a, la, p in rows_ for b, lb, q in rows_ if a < b and la != lb and not (two and p == q))
+    want = {frozenset((c, d)) for k, c, l, _ in rows for m, d, o, _ in rows if k == m and c < d and l != o}
+    assert set(met) == want and set(met.values()) == {1}
+    assert most == 1000 or max(map(len, cells.values())) < 40
 
 
 def test_components(spark):

@@ -2,19 +2,24 @@
 
 1. Documents become sets of hashed word shingles; equal sets are one class from then on, however many documents have them.
 2. Each class has a MinHash signature, cut into ``TREES`` orders of ``DEPTH`` values. All classes are sorted by each order, and the first candidates of a
-   class are its neighbours there with the longest common prefixes: at most ``NEIGHBOURS`` before it, at least ``LEAST_DEPTH`` values in common.
-3. Each class is verified against its best candidate on full sets, and then, in up to ``BEST_ROUNDS`` rounds, against its best candidate in another group.
-   That joins most of each group with at most one pair for each class and round.
-4. Then every two classes of different groups that have the first ``LEAST_DEPTH`` values of an order in common are compared, however many have them: long
-   runs are split into cells of bounded size. The best of each two groups are verified first, then all that are still between different groups.
-5. Groups are connected by turning parts of bounded size into stars and by alternating large-star and small-star steps between the parts.
-
-A link may be missed only by chance of the signatures: for a similarity of 0.75 if no order has the prefix in common, (1 - 0.75 ** 2) ** 12 or 1 in 20000, or if
-fewer than 40 of 72 values agree, 1 in 10000; less for closer texts or those that are linked in more than one way; links that are reported are exact.
-
-Hot groups: equal sets are pre-aggregated; near copies differ in their signatures' order or tie-break, so range partitioning deals them out, and runs of one group
-are left out of step 4; a document in very many pairs is an ordinary skewed join, which adaptive execution splits. The work of step 4 is quadratic in a run of
-many groups whose texts are all nearly similar enough. Nothing about all documents reaches the driver.
+   class are its neighbours there with the longest common prefixes: ``NEIGHBOURS`` before it, at least ``LEAST_DEPTH`` values in common.
+3. In ``BEST_ROUNDS`` rounds each class is verified against its best candidate in another group on full sets. That joins most of each group with at most
+   one pair for each class and round; it only saves work, since nothing that it leaves out is taken for settled.
+4. A region of a tree is a run of classes with the first ``LEAST_DEPTH`` values in common, whatever its size. In each run that still has different groups, the
+   classes are found that have a candidate in another group there: one whose signature agrees in a share of ``LEAST_ESTIMATE`` or more.
+5. Runs that share such classes are one region. Its classes, with their full sets, are joined exactly: rarest shingles first, so that a pair is only looked at
+   if it has a rare shingle in common not too far back in either order; the depth of that prefix adapts to what is rare in the region. Regions beyond a bound are
+   read in cells of two bounded parts; rows of the largest group are never held against one another.
+6. Groups are connected by turning parts of bounded size into stars and by alternating large-star and small-star steps between the parts.
+
+A link may be missed only by chance of the signatures: for a similarity of exactly 0.75 if no order has the prefix in common, (1 - 0.75 ** 2) ** 12 or 1 in 20000, or if
+fewer than 40 of 72 values agree, 1 in 10000; less for closer texts or those that are linked in more than one way. There is no cap on candidates or
+partners, and borders of partitions play no part in steps 4 and 5. Links that are reported are exact.
+
+Hot groups: equal sets are pre-aggregated; near copies differ in their signatures' order or tie-break, so range partitioning deals them out; joins on labels and on
+classes are salted. In a region of many different groups that are all nearly similar enough, step 4 ends for a class with its first candidate and step 5
+depends on how rare the differences are; only the copies of rows that cells need grow with the square of such a region's size over ``CELL_SHINGLES``.
+Nothing about all documents reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, filter_of
@@ -38,11 +43,14 @@ LEAST_ESTIMATE = 0.55
 MEMO_ENTRIES = 500_000
 #: Rounds of best candidates before all are taken; they only save work, what they leave is taken afterwards.
 BEST_ROUNDS = 2
-#: Rows of a run in one part; two parts make a cell, whose pairs one task compares. Pairs that a task holds before it gives them on.
-RUN_ROWS, HELD_PAIRS = 4096, 50_000
+#: What one part holds: rows of a run, or shingles of a region's sets (8 bytes each); two parts make a cell, which one task reads. Pairs of entries looked at together.
+RUN_ROWS, CELL_SHINGLES, CELL_PAIRS = 4096, 1 << 20, 1 << 20
 #: Edges that one task turns into stars at once, some tens of MB.
 EDGES_PER_PART = 200_000
 
+#: Salts over which a hot key is dealt, and how many keys can be hot: each holds a thousandth of the rows or more.
+SALTS, MOST_HOT = 16, 1000
+
 _rng = np.random.default_rng(20240501)
 MULTIPLY, ADD = (_rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 PLACE = (_rng.integers(1, 1 << 63, SHINGLE * 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -83,6 +91,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def class_of(shingles: np.ndarray) -> bytes | None:
+    """A digest of a set; None if it is empty."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def same_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -103,6 +116,15 @@ def neighbours(orders: np.ndarray, sketches: np.ndarray, least: float) -> Iterat
         yield rows[ok], rows[ok] - shift, estimate[ok]
 
 
+def salt_of(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(SALTS)).cast("int")
+
+
+def salted(few: DataFrame) -> DataFrame:
+    """Each row once for each ``salt``, for a join to a side whose keys may be hot."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _sorted_orders(classes: DataFrame) -> DataFrame:
     """Classes by tree and order: ``class``, ``label``, ``place`` (the tree and its values), ``sketch``; range-partitioned and sorted."""
 
@@ -146,11 +168,51 @@ def _best(classes: DataFrame, least: float) -> DataFrame:
     return map_batches(_sorted_orders(classes), run, "row binary, a binary, b binary, la binary, lb binary, estimate double")
 
 
-def _all(classes: DataFrame, least: float, percent: int) -> DataFrame:
-    """Every pair (a, b, la, lb, estimate) of classes with different labels that have the prefix of an order in common; a pair comes once for each such order.
+def _cells(rows: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """``rows`` of the keys that have more than one label, dealt into cells of bounded weight: with ``part``, ``parts`` and ``cell`` of each copy of a row.
 
-    A run of one label has no pairs and is left out. Other runs are dealt into parts of about ``RUN_ROWS`` rows, and each two parts are one cell.
+    Only rows with different labels have to meet. A key of at most ``most`` weight is one cell. Of others, the rows of the label with the most weight are dealt
+    into parts of their own, which never meet each other: so a key with one large group and a few other rows is read about once. The parts of the other rows meet all.
     """
+    each = rows.groupBy(key, "label").agg(F.sum(weight).alias("w"))
+    keys = each.groupBy(key).agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("w"), F.count("*").alias("labels")).where("labels > 1")
+    small = F.col("w") <= most
+    keys = keys.select(key, F.when(~small, F.col("top.label")).alias("top"), F.when(small, F.lit(1)).otherwise(F.ceil((F.col("w") - F.col("top.w")) / most)).cast("long").alias("others"), F.when(small, F.lit(0)).otherwise(F.ceil(F.col("top.w") / most)).cast("long").alias("tops"))
+    at = F.pmod(F.xxhash64("class"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others")))
+    out = rows.withColumn("salt", salt_of("class")).join(salted(keys), [key, "salt"]).drop("salt").withColumn("is_top", F.coalesce(F.col("label") == F.col("top"), F.lit(False))).withColumn("part", F.when(F.col("is_top"), F.col("others") + at).otherwise(at)).withColumn("parts", F.col("others") + F.col("tops"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("is_top"), F.col("others")).otherwise(F.col("parts")) - 1)))
+    out = out.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("top", "others", "tops", "is_top", "other", "parts")
+    return out.repartition(key, "cell").sortWithinPartitions(key, "cell", "class")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells, from batches sorted by their first two columns: a cell may lie in several batches."""
+    waiting: list[pa.Table] = []  # rows of the last cell so far
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        cut = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), -1) + 1  # where the batch's last cell begins
+        if cut or keys[0] != last:
+            done = [*waiting, t.slice(0, cut)]
+            if sum(map(len, done)):
+                yield pa.concat_tables(done).combine_chunks()
+            waiting = []
+        waiting.append(t.slice(cut))
+        last = keys[-1]
+    if waiting:
+        yield pa.concat_tables(waiting).combine_chunks()
+
+
+def _codes(t: pa.Table, column: str) -> np.ndarray:
+    """Equal values as equal small numbers."""
+    return t.column(column).combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _open(classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """``run`` and ``class`` of all classes with a candidate of another label in a run, which is all that have the prefix of an order in common."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,94 +222,141 @@ def _all(classes: DataFrame, least: float, percent: int) -> DataFrame:
                 place = [bytes([t]) + x.tobytes() for x in sig[:, t, :LEAST_DEPTH]]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(place, pa.binary()), sketch], ["class", "label", "n", "run", "sketch"])
 
-    rows = map_batches(classes.select("class", "label", "sig", "n"), prefixes, "class binary, label binary, n long, run binary, sketch binary")
-    mixed = rows.groupBy("run").agg(F.count("*").alias("rows"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("run", F.ceil(F.col("rows") / RUN_ROWS).alias("parts"))
-    rows = rows.join(mixed, "run").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).select("run", "cell", "class", "label", "n", "part", "sketch")
-    cells = cells.repartition("run", "cell").sortWithinPartitions("run", "cell", "class")
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        run, label = (t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("run", "label"))
-        cell, n, part = (t.column(c).to_numpy() for c in ("cell", "n", "part"))
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(run), -1)
-        group = np.concatenate([[0], np.cumsum((run[1:] != run[:-1]) | (cell[1:] != cell[:-1]))])
-        start = np.searchsorted(group, group)
-        split = np.maximum.reduceat(part, np.unique(start))[group] != np.minimum.reduceat(part, np.unique(start))[group]  # a cell of two parts
-        held, many, shift, later = [], 0, 0, np.arange(len(run))
-
-        def give() -> pa.RecordBatch:
-            r, q, e = (np.concatenate(x) for x in zip(*held, strict=True))
-            columns = [t.column(c).combine_chunks().take(pa.array(i)) for c, i in (("class", q), ("class", r), ("label", q), ("label", r))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(e)], ["a", "b", "la", "lb", "estimate"])
-
-        while len(later := later[later - start[later] > shift]):
-            shift += 1
-            q = later - shift
-            small, large = np.minimum(n[later], n[q]), np.maximum(n[later], n[q])
-            r = later[(label[later] != label[q]) & (~split[later] | (part[later] != part[q])) & (100 * small >= percent * large)]
-            for r in np.array_split(r, len(r) // 4096 + 1):
-                e = (sketches[r] == sketches[r - shift]).mean(1)
-                ok = e >= least
-                if ok.any():
-                    held.append((r[ok], r[ok] - shift, e[ok]))
-                    many += int(ok.sum())
-            if many >= HELD_PAIRS:
-                yield give()
-                held, many = [], 0
-        if held:
-            yield give()
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []  # rows of the last cell so far
-        last = None
-        for b in batches:
-            if not len(b):
-                continue
-            t = pa.Table.from_batches([b])
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            cut = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), -1) + 1  # where the batch's last cell begins
-            if cut or keys[0] != last:
-                done = [*waiting, t.slice(0, cut)]
-                if sum(map(len, done)):
-                    yield from compare(pa.concat_tables(done))
-                waiting = []
-            waiting.append(t.slice(cut))
-            last = keys[-1]
-        if waiting:
-            yield from compare(pa.concat_tables(waiting))
-
-    return map_batches(cells, pairs, "a binary, b binary, la binary, lb binary, estimate double")
-
-
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``class`` and ``text`` of the classes in pairs, each from one document; others are left out by a filter of fixed size before the shuffle."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc"), "class")
-    needed = materialize(needed, "needed")
+    rows = map_batches(classes.select("class", "label", "sig", "n"), prefixes, "class binary, label binary, n long, run binary, sketch binary").withColumn("one", F.lit(1))
+    cells = _cells(rows, "run", "one", RUN_ROWS).select("run", "cell", "class", "label", "n", "part", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(batches):
+            label, run = _codes(t, "label"), _codes(t, "run")
+            cell, n, part = (t.column(c).to_numpy() for c in ("cell", "n", "part"))
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(run), -1)
+            group = np.concatenate([[0], np.cumsum((run[1:] != run[:-1]) | (cell[1:] != cell[:-1]))])
+            start = np.searchsorted(group, group)
+            split = np.maximum.reduceat(part, np.unique(start))[group] != np.minimum.reduceat(part, np.unique(start))[group]  # a cell of two parts
+            found, shift, later = np.zeros(len(run), bool), 0, np.arange(len(run))
+            while len(later := later[later - start[later] > shift]):
+                shift += 1
+                q = later - shift
+                small, large = np.minimum(n[later], n[q]), np.maximum(n[later], n[q])
+                # two that are both found already are both open, whatever they are to each other
+                r = later[~(found[later] & found[q]) & (label[later] != label[q]) & (~split[later] | (part[later] != part[q])) & (100 * small >= percent * large)]
+                for r in np.array_split(r, len(r) // 4096 + 1):
+                    r = r[(sketches[r] == sketches[r - shift]).mean(1) >= least]
+                    found[r] = found[r - shift] = True
+            if found.any():
+                yield t.select(["run", "class"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
+
+    return map_batches(cells, compare, "run binary, class binary").distinct()
+
+
+def exact_links(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of different labels, enough of them to join all labels that links join; between two parts only, if there are two.
+
+    A set join within the cell: shingles are ordered by rarity, two sets that are similar enough have one of the rarest of each in common (prefix), not too
+    far back in either (position), and their sizes are close (length). What passes is verified on the full sets, unless its labels are joined already.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token, count = rank[token], np.sort(count, kind="stable")  # token numbers now ascend with their counts
+    order = np.lexsort((token, row))
+    token, at = token[order], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    keep = (count[token] > 1) & (at <= size[row] - (percent * size[row] + 99) // 100)
+    token, row, at = token[keep], row[keep], at[keep]
+    by = np.argsort(token, kind="stable")
+    token, row, at = token[by], row[by], at[by]
+    if len(set(part.tolist())) > 1:
+        few = part == part.min()
+        many = ~few
+    else:  # rows of the most common label never meet each other
+        few = label != np.bincount(label).argmax()
+        many = np.ones(len(sets), bool)
+    a, b = few[row], many[row]
+    ta, ra, pa_, tb, rb, pb = token[a], row[a], at[a], token[b], row[b], at[b]
+    lo, hi = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
+    root = np.arange(label.max() + 1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links, tried = [], set()
+    ends = np.cumsum(hi - lo)
+    begin = 0
+    while begin < len(ta):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CELL_PAIRS, "right")))
+        k = hi[begin:end] - lo[begin:end]
+        i = np.repeat(np.arange(begin, end), k)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + lo[i]
+        x, y = ra[i], rb[j]
+        now = np.array([find(v) for v in range(len(root))])
+        ok = (now[label[x]] != now[label[y]]) & ~(few[y] & (x >= y))
+        i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+        need = -(-percent * (size[x] + size[y]) // (100 + percent))  # what both must have in common
+        ok = np.minimum(size[x] - pa_[i], size[y] - pb[j]) >= need
+        for p, q in np.unique(np.stack([x[ok], y[ok]], 1), axis=0).tolist():
+            u, v = find(label[p]), find(label[q])
+            if u != v and (p, q) not in tried:
+                tried.add((p, q))
+                if same_enough(sets[p], sets[q], percent):
+                    links.append((p, q))
+                    root[max(u, v)] = min(u, v)
+        begin = end
+    return links
+
+
+def _exact(classes: DataFrame, sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels, from all pairs of classes that runs lead to from one another; none is left out."""
+    regions = connected(open_.select(F.col("class").alias("a"), F.col("run").alias("b")))
+    rows = sets.join(regions, sets["class"] == regions["node"], "left").select("class", F.coalesce("root", "class").alias("region"), "set")
+    rows = materialize(rows.join(classes.select("class", "label", "n"), "class"), "open")
+    cells = _cells(rows.select("region", "class", "label", "n", "set"), "region", "n", CELL_SHINGLES).select("region", "cell", "class", "label", "part", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(batches):
+            keys = list(zip(_codes(t, "region").tolist(), t.column("cell").to_pylist(), strict=True))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
+                cell = t.slice(s, e - s)
+                sets_ = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()]
+                labels, parts = cell.column("label").to_pylist(), cell.column("part").to_numpy()
+                found = exact_links(sets_, _codes(cell, "label"), parts, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i, _ in found], pa.binary()), pa.array([labels[j] for _, j in found], pa.binary())], ["a", "b"])
+
+    return map_batches(cells, run, "a binary, b binary")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """``class`` and ``set`` of the ``needed`` classes, each from one document; others are left out by a filter of fixed size before the shuffle."""
+    needed = materialize(needed.select("class").distinct().join(classes.select("class", "doc"), "class"), "needed")
     bits = filter_of(needed.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(bits)
+        bloom, make = Bloom(bits), Shingler(shingle)
         for b in batches:
-            if len(b):
-                yield b.filter(pa.array(bloom.has(b.column(0).to_numpy())))
+            b = b.filter(pa.array(bloom.has(b.column(0).to_numpy()))) if len(b) else b
+            sets = [make(t) for t in b.column(1).to_pylist()]
+            cls = [class_of(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "of", "set"])
 
-    near = map_batches(docs.select("doc", "text"), run, "doc long, text string")
-    # rows that repeat as a whole share ``doc``: one is enough
-    return materialize(near.join(needed, "doc").groupBy("class").agg(F.first("text").alias("text")), "texts")
+    near = map_batches(docs.select("doc", "text"), run, "doc long, of binary, set binary")
+    # the digest of the set tells apart two rows whose digests clash; rows that repeat as a whole give the same set: one is enough
+    return materialize(near.join(needed, "doc").where("of = class").groupBy("class").agg(F.first("set").alias("set")), "shingles")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the labels ``la`` and ``lb`` of the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(shingle)
         for b in batches:
-            ok = [same_enough(make(x), make(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [same_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.select("a", "b", "la", "lb").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.select("a", "b", "la", "lb").join(sets.select(F.col("class").alias("a"), F.col("set").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("tb")), "b")
     return map_batches(both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb"), run, "a binary, b binary")
 
 
@@ -305,9 +414,10 @@ def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
 
 def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` with labels joined along links between labels."""
-    roots = connected(links)
-    out = classes.join(roots, classes["label"] == roots["node"], "left")
-    return materialize(out.select("class", "doc", "least", "sig", "n", F.coalesce("root", "label").alias("label")), "classes")
+    roots = salted(connected(links))  # a large group's label stands in very many rows
+    out = classes.withColumn("at", salt_of("class"))
+    out = out.join(roots, (out["label"] == roots["node"]) & (out["at"] == roots["salt"]), "left")
+    return materialize(out.select("class", "doc", "least", "sig", "n", "docs", F.coalesce("root", "label").alias("label")), "classes")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -322,7 +432,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 60 <= percent <= 100:
         raise ValueError("the signatures' orders are laid out for similarities of 60 % and more")
     least_estimate = LEAST_ESTIMATE - (PERCENT - percent) / 100 if percent < PERCENT else LEAST_ESTIMATE
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = d.select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("doc"), "id", "text")
 
@@ -330,14 +440,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         make = Shingler(shingle)
         for b in batches:
             rows = [make(t) for t in b.column(2).to_pylist()]
-            cls = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in rows]
+            cls = [class_of(x) for x in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(map(len, rows), pa.int64()), pa.array(cls, pa.binary()), pa.array([signature(x).tobytes() if len(x) else None for x in rows], pa.binary())],
                 ["doc", "id", "n_shingles", "class", "sig"])
 
     rows = materialize(map_batches(keyed, sets, f"doc long, id {kind}, n_shingles long, class binary, sig binary"), "sets")
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", "n", F.col("class").alias("label")), "classes")
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("docs"))
+    classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", "n", "docs", F.col("class").alias("label")), "classes")
 
     tried = None
     for _ in range(BEST_ROUNDS):
@@ -346,34 +456,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if best.isEmpty():
             break
         tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
-        links = materialize(_verify(best, _texts(keyed, classes, best), shingle, percent), "links")
+        sets = _sets(keyed, classes, best.select(F.explode(F.array("a", "b")).alias("class")), shingle)
+        links = materialize(_verify(best, sets, percent), "links")
         if links.isEmpty():
             break
         classes = _relabel(classes, links)
 
-    left = materialize(_all(classes, least_estimate, percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.first("la").alias("la"), F.first("lb").alias("lb")), "pairs")
-    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs") if tried is not None else left
-    for part in (True, False):  # the best pairs of each two groups, then all that are still between different groups
-        open_ = left
-        if not part:  # labels have changed since the orders were read
-            labels = classes.select("class", "label")
-            open_ = left.select("a", "b", "estimate").join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        open_ = open_.select("a", "b", "estimate", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
-        open_ = open_ if part else materialize(open_, "open")
-        if open_.isEmpty():
-            break
-        if part:
-            texts = _texts(keyed, classes, open_)
-            now = open_.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(2)).alias("part")).agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b", "la", "lb")
-            now = materialize(now, "pairs")
-            left = open_.join(now.select("a", "b"), ["a", "b"], "left_anti")
-        else:
-            now = open_
-        good = materialize(_verify(now, texts, shingle, percent), "links")
-        if not good.isEmpty():
-            classes = _relabel(classes, good)
-
-    groups = classes.groupBy("label").agg(F.min("least").alias("component"))
-    named = classes.join(groups, "label").select("class", "component")
-    out = rows.join(named, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    open_ = materialize(_open(classes, least_estimate, percent), "runs")
+    if not open_.isEmpty():
+        links = materialize(_exact(classes, _sets(keyed, classes, open_, shingle), open_, percent), "links")
+        if not links.isEmpty():
+            classes = _relabel(classes, links)
+
+    groups = classes.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("many")).where("many > 1").drop("many")
+    named = classes.withColumn("salt", salt_of("class")).join(salted(groups), ["label", "salt"], "left").select("class", "docs", F.coalesce("component", "least").alias("component"))
+    # a class that holds a thousandth of all rows or more, and there are a thousand of those at most, is dealt over salts
+    hot = [bytes(r[0]) for r in classes.where(F.col("docs") * MOST_HOT >= rows.count()).select("class").take(MOST_HOT)]
+    is_hot = F.col("class").isin(hot) if hot else F.lit(False)
+    named = named.select("class", "component", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    out = rows.withColumn("salt", F.when(is_hot, salt_of("doc", "n_shingles")).otherwise(F.when(F.col("class").isNull(), salt_of("doc")).otherwise(0)))
+    out = out.join(named, ["class", "salt"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
