@@ -92,6 +92,52 @@ def test_html_teasers():
     assert html_text.main_text(page).split("\n\n") == [x.strip() for x in story]
 
 
+def test_html_blocks():
+    """Surge and dive against a brute force that looks at every line-block by itself."""
+    import random
+
+    rnd = random.Random(8)
+    for _ in range(500):
+        sizes = [rnd.choice((0, 0, 0, 5, 20, 70)) for _ in range(rnd.randint(0, 30))]
+        n, w = len(sizes), html_text.WINDOW
+        empty = {i for i in range(n) if not any(sizes[i : i + w])}  # line-blocks without text
+        part, parts = [], []
+        for i in range(n):
+            if sizes[i]:
+                if part and any(j in empty for j in range(part[-1] + 1, i)):
+                    parts.append(part)
+                    part = []
+                part.append(i)
+        parts += [part] * bool(part)
+        surge = [p for p in parts if any(sum(sizes[i : i + w]) >= html_text.SURGE for i in range(p[0], p[-1] + 1))]
+        assert html_text.between_surge_and_dive(sizes) == [(p[0], p[-1] + 1) for p in surge or parts], sizes
+
+
+#: Page layouts: {0} is the article's blocks, and what else they have must not come out.
+LAYOUTS = {
+    "article element": "<nav><a href=/>Home</a></nav><div class=ad>Buy this very useful thing now at half the price of all others.</div><article>{0}</article><footer>Imprint and contact of the house.</footer>",
+    "no element, named parts": "<ul class=menu><li>One</li><li>Two</li><li>Three</li></ul><div id=content>{0}</div><div class=sidebar><p>About us</p><p>Links</p><p>Feeds</p></div><div class=footer>Imprint and contact of the house</div>",
+    "no element, links as menu": "<div><a href=/1>First page of this site</a></div><div><a href=/2>Second page of this site</a></div><div><a href=/3>Third page of this site</a></div><div>{0}</div><p><a href=/4>Older</a></p><p><a href=/5>Newer</a></p><p><a href=/6>Home</a></p>",
+    "advert in the article": "<main>{0}<div class=advert><p>A long advert that says many words about a thing that nobody needs.</p></div>{0}</main>",
+    "teasers as articles": "<article><h3>Teaser</h3><p>Short.</p></article><article><h3>Other</h3><p>Words.</p></article><div>{0}</div>",
+    "reader comments": "<article>{0}</article><section id=comments><p>This reader writes a long comment of many words that is no part of the article at all.</p></section>",
+    "form and notice": "<div role=alert>We use small files to make your visit here better in many ways.</div><article>{0}<form><label>Your name and address</label></form></article>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts(layout):
+    """Precision and recall of blocks, by layout; both must be 1."""
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(40):
+        blocks = [" ".join(rnd.choice(("river", "stone", "of", "the", "garden", "&amp;")) for _ in range(rnd.randint(15, 60))) for _ in range(rnd.randint(1, 8))]
+        got = html_text.main_text("<html><head><title>t</title></head><body>" + LAYOUTS[layout].format("".join(f"<p>{x}</p>" for x in blocks)) + "</body></html>").split("\n\n")
+        want = [x.replace("&amp;", "&") for x in blocks] * LAYOUTS[layout].count("{0}")
+        assert got == want
+
+
 # 3 token counts
 def test_token_counts(docs, none):
     path = tokenizer_path("byte_bpe_50k.json")

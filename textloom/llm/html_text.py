@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. The text lengths of a sliding window of lines (a line-block) rise at
-the surge point of the article and fall to nothing at its dive point; the text between is kept. Elements that can't be
-article text (scripts, menus, headers, footers, side bars, notices, adverts, forms, reader comments) leave empty lines, so that they form the
-valleys between which the article stands out. Text in links counts for less than other text. Surge and dive are found on every page; an element for the main
-text bounds the article only if it holds more text than the largest region outside it.
+Markup is stripped to lines, one for each block of the page that has text. The text lengths of a sliding window of lines (a line-block) rise at
+the surge point of the article and fall to nothing at its dive point; the text between is kept. This decides on every page.
+
+Markup only gives features of lines. A line in an element that can't be article text (script, menu, header, footer, side bar, notice, advert, form, reader comment)
+has the length 0 and no text, so such elements form the valleys between which the article stands out; so does the border of an element for the
+main text. Text in links doesn't count as length. Of several regions that surge, those are kept that stand, as the heaviest one does, inside or outside such
+elements; a region inside counts double.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import map_batches, quote_columns
 
 #: Lines in a line-block, and the length from which a block is a surge.
 WINDOW, SURGE = 3, 60
-#: Without an element that bounds the article, other regions stay if they have this share of the largest one.
-OTHER_SHARE = 0.3
+#: What text in an element for the main text weighs against other text when regions are compared.
+MAIN_WEIGHT = 2
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>)", re.S)
 #: A tag whose quotes don't close: up to the next >.
@@ -61,28 +63,45 @@ def _dropped(name: str, attributes: str) -> bool:
 
 
 def page_lines(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Lines of a page, how many of their characters are in links, and whether they are in an element for the main text."""
+    """Lines of a page, how many of their characters are in links, and whether they are in an element for the main text.
+
+    A block of a dropped element is an empty line, and so are ``WINDOW`` lines at each border of an element for the main text; blocks without text are no lines.
+    """
     lines, links, mains = [], [], []
     held: list[str] = []
     linked = at = 0
     open_tags: list[tuple[str, bool]] = []  # name, whether it drops
     opened: Counter[str] = Counter()  # how many of each name are open
     dropping = anchors = main = 0
+    dropped = False  # whether the block has text that is dropped
 
     def text(raw: str) -> None:
-        nonlocal linked
-        if raw and not dropping:
+        nonlocal linked, dropped
+        if dropping:
+            dropped = dropped or not raw.isspace() and raw != ""
+        elif raw:
             held.append(raw)
             if anchors:
                 linked += len(raw)
 
-    def flush() -> None:
-        nonlocal linked
-        lines.append(" ".join(html.unescape("".join(held)).split()))
-        links.append(linked)
+    def put(line: str, n_linked: int = 0) -> None:
+        lines.append(line)
+        links.append(n_linked)
         mains.append(main > 0)
+
+    def flush() -> None:
+        nonlocal linked, dropped
+        line = " ".join(html.unescape("".join(held)).split())
+        if line:
+            put(line, min(linked, len(line)))
+        if dropped:
+            put("")
         held.clear()
-        linked = 0
+        linked, dropped = 0, False
+
+    def border() -> None:
+        for _ in range(WINDOW):
+            put("")
 
     def close(upto: int, only: bool = False) -> None:
         nonlocal dropping, anchors, main
@@ -92,7 +111,9 @@ def page_lines(page: str) -> tuple[list[str], list[int], list[bool]]:
             opened[name] -= 1
             dropping -= drops
             anchors -= name == "a"
-            main -= name in MAIN
+            if name in MAIN:
+                border()
+                main -= 1
 
     while (start := page.find("<", at)) >= 0:
         m = TAG.match(page, start) or LOOSE.match(page, start)
@@ -138,26 +159,29 @@ def page_lines(page: str) -> tuple[list[str], list[int], list[bool]]:
         opened[name] += 1
         dropping += drops
         anchors += name == "a"
-        main += name in MAIN
+        if name in MAIN:
+            main += 1
+            border()
     text(page[at:])
     flush()
     return lines, links, mains
 
 
-def between_surge_and_dive(sizes: list[int], surge: int, gap: int) -> list[tuple[int, int]]:
-    """Regions [start, end) of lines: from where text begins to where ``gap`` lines have none, if a line-block in it has ``surge`` characters.
+def between_surge_and_dive(sizes: list[int], surge: int = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Regions [start, end) of lines: each from the first line with text after a dive (a line-block of length 0) to the last before the next dive, if some line-block in it surges.
 
-    If no block surges, as on a page of one short line, the region with the most text is taken.
+    If no block surges, as on a page of one short line, these are all regions.
     """
-    regions, start, last = [], None, 0
-    for i, n in enumerate([*sizes, *[0] * gap]):
-        if n:
-            start, last = (i if start is None else start), i
-        elif start is not None and i - last >= gap:
-            regions.append((start, last + 1))
+    blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    regions, start = [], None
+    for i, n in enumerate(sizes):
+        if n and start is None:
+            start = i
+        if start is not None and (i + 1 == len(sizes) or blocks[i + 1] == 0) and n:
+            regions.append((start, i + 1))
             start = None
-    surges = [(s, e) for s, e in regions if any(sum(sizes[i : i + WINDOW]) >= surge for i in range(s, e))]
-    return surges or sorted(regions, key=lambda r: -sum(sizes[r[0] : r[1]]))[:1]
+    surges = [(s, e) for s, e in regions if max(blocks[s:e]) >= surge]
+    return surges or regions
 
 
 def main_text(page: str | None) -> str:
@@ -165,18 +189,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, links, mains = page_lines(page)
-    sizes = [max(0, len(x) - n) for x, n in zip(lines, links, strict=True)]
-    regions = between_surge_and_dive(sizes, SURGE, WINDOW)
-    inside_size = sum(n for n, inside in zip(sizes, mains, strict=True) if inside)
-    outside_size = max((sum(n for n, inside in zip(sizes[s:e], mains[s:e], strict=True) if not inside) for s, e in regions), default=0)
-    if inside_size and inside_size >= outside_size:
-        # an element bounds the article: any text in it is a surge, and only its end is a dive
-        regions = between_surge_and_dive([len(x) if inside else 0 for x, inside in zip(lines, mains, strict=True)], 1, len(lines))
-        keep = {i for s, e in regions for i in range(s, e) if mains[i]}
-    else:
-        largest = max((sum(sizes[s:e]) for s, e in regions), default=0)
-        keep = {i for s, e in regions if sum(sizes[s:e]) >= OTHER_SHARE * largest for i in range(s, e) if links[i] < 0.7 * len(lines[i])}
-    return "\n\n".join(lines[i] for i in sorted(keep) if lines[i])
+    sizes = [len(x) - n for x, n in zip(lines, links, strict=True)]
+    regions = between_surge_and_dive(sizes if any(sizes) else [len(x) for x in lines])  # a page of nothing but links has them as its text
+    if not regions:
+        return ""
+    weight = lambda r: sum(sizes[r[0] : r[1]]) * (MAIN_WEIGHT if mains[r[0]] else 1)
+    inside = mains[max(regions, key=weight)[0]]
+    return "\n\n".join(x for s, e in regions if mains[s] == inside for x in lines[s:e] if x)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
