@@ -1,15 +1,17 @@
 """Quality rules from cross-document line frequency, in DataFrame functions only.
 
 Method: lines are normalised and hashed; for each host the distinct documents of a line are counted; lines above the
-limit are boilerplate and count as removed; a document of which too little remains is rejected. Beside it stand the
+limit are boilerplate and removed; a document of which too little remains is rejected. Beside it stand the
 rules on a document alone (word count and repeated three-word windows).
 
-Exact copies of a text count as one document, so a page that a host serves many times does not turn its own lines into
-boilerplate. Lines of every length take part.
+A document is a row; rows that are equal as a whole count as one. So a page that a host serves under very many identifiers turns
+its own lines into boilerplate and is rejected with all its copies. Lines of every length take part.
 
-Hot groups: counts are pre-aggregated in each map task, first by (host, line, text) and then by (host, line), so a host or
-line with a third of all rows costs one row per map task. The join back to lines is an ordinary equi-join that adaptive
-execution may broadcast (below its size limit) or split by skew.
+The texts are read once: that pass writes the counts of each row and the hashes of its lines under a row number, and all later steps read that table.
+
+Hot groups: counts are pre-aggregated in each map task, first by (host, line, document) and then by (host, line), so a host or
+line with a third of all rows costs one row per map task. The frequent lines are written before they are joined to the rows' lines, so that both sides are plain
+shuffles, which adaptive execution may broadcast (below its size limit, with the real size known) or split by skew.
 
 Defined results: null text has no words (base_failed, not kept); a null host is a host of its own; repeated rows each get
 their row; an empty table gives an empty result; further columns are ignored.
@@ -20,15 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quote_columns, row_key
-
-#: The characters that part words, and those counted as symbols.
-SPACE, SPACE_CLASS, SYMBOLS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+", "#*$%&|<>"
-
+from .common import SPACE, SPACE_CLASS, materialize, quote_columns, row_key, spark_words
 
-def words_of(text: Column) -> Column:
-    """Words as an array; never null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
+#: The characters that are counted as symbols.
+SYMBOLS = "#*$%&|<>"
 
 
 def _bind(value: Column, body) -> Column:
@@ -73,37 +70,33 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document with its counts, ``base_failed``, the words left without frequent lines, and ``kept``.
 
-    A line is frequent on a host if it stands in ``min_line_docs`` distinct texts or more that make up at least
-    ``line_percent`` of the host's distinct texts. With ``cleaned`` the column ``cleaned`` has the text without its frequent lines; columns named in ``keep`` are returned too. A document is depleted if fewer than
-    ``min_left_percent`` of its words are left.
+    A line is frequent on a host if it stands in ``min_line_docs`` distinct documents or more that make up at least
+    ``line_percent`` of the host's documents. With ``cleaned`` the column ``cleaned`` has the text without its frequent lines; columns named in ``keep`` are returned too.
+    A document is depleted if fewer than ``min_left_percent`` of its words are left.
     """
-    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).select(
-        *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_key(id_col, host_col, text_col).alias("_key"), F.xxhash64(text_col).alias("_content"))
-
-    lines = F.filter(F.split("_text", "\n"), has_word)
     kept = [f"_keep_{c}" for c in keep]
-    rows = d.select(*kept, "_id", "_key", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
-    rows = rows.select(
-        *kept, "_id", "_key", *(["_text"] if cleaned else []), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
+    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).select(
+        *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").alias("_host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), row_key(*(f"`{c}`" for c in (id_col, host_col, text_col))).alias("_key"))
+    split = d.select("*", spark_words(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_all_lines")).withColumn("_lines", F.filter("_all_lines", has_word))
+    hashed = F.transform("_all_lines", lambda x: F.struct(F.when(has_word(x), F.xxhash64(normal_line(x))).alias("h"), F.size(spark_words(x)).alias("w")))
+    rows = split.select(
+        *kept, "_id", "_host", "_key", F.monotonically_increasing_id().alias("_row"), *(["_text"] if cleaned else []), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"))
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"), hashed.alias("_hashed"))
+    rows = materialize(rows, "quality")
 
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w")))
-    each = d.select("_key", "_host", "_content", F.explode(hashed).alias("_l")).select("_key", "_host", "_content", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w"))
-    seen = each.groupBy("_host", "_line", "_content").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.sum("_one").alias("_docs"))
-    hosts = d.groupBy("_host", "_content").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.sum("_one").alias("_all"))
+    each = rows.select("_row", "_host", "_key", F.explode(F.filter("_hashed", lambda x: x["h"].isNotNull())).alias("_l")).select("_row", "_host", "_key", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w"))
+    seen = each.groupBy("_host", "_line", "_key").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.sum("_one").alias("_docs"))
+    hosts = rows.groupBy("_host", "_key").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.sum("_one").alias("_all"))
     frequent = seen.where(F.col("_docs") >= min_line_docs).join(hosts.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2"))).where(F.col("_docs") * 100 >= F.col("_all") * line_percent)
-    frequent = frequent.select(F.col("_host").alias("_fhost"), F.col("_line").alias("_fline"))
+    frequent = materialize(frequent.select(F.col("_host").alias("_fhost"), F.col("_line").alias("_fline")), "frequent")
 
-    # a document's occurrences of a line as one row; rows that repeat as a whole share the key and must not add up
-    copies = d.groupBy("_key").agg(F.count("*").alias("_copies"))
-    gone = each.groupBy("_key", "_host", "_line").agg(F.sum("_w").alias("_w")).join(frequent, (F.col("_line") == F.col("_fline")) & F.col("_host").eqNullSafe(F.col("_fhost")), "left_semi")
-    hashes = [F.collect_set("_line").alias("_frequent")] if cleaned else []
-    gone = gone.groupBy("_key").agg(F.sum("_w").alias("_w"), *hashes).join(copies, "_key").select("_key", *(["_frequent"] if cleaned else []), (F.col("_w") / F.col("_copies")).cast("long").alias("_gone"))
+    gone = each.select("_row", "_host", "_line", "_w").join(frequent, (F.col("_line") == F.col("_fline")) & F.col("_host").eqNullSafe(F.col("_fhost")), "left_semi")
+    gone = gone.groupBy("_row").agg(F.sum("_w").alias("_gone"), *([F.collect_set("_line").alias("_frequent")] if cleaned else []))
 
     left = F.col("n_words") - F.coalesce("_gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rest = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_frequent", F.xxhash64(normal_line(x))))
+    rest = F.filter(F.split("_text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("_frequent", F.get("_hashed", i)["h"]), F.lit(False)))
     extra = [F.when(F.col("_frequent").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n")).alias("cleaned")] if cleaned else []
-    out = rows.join(gone, "_key", "left").select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], *extra, "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_words_left"))
+    out = rows.join(gone, "_row", "left").select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], *extra, "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_words_left"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") * 100 >= F.col("n_words") * min_left_percent)).withColumnRenamed("_id", id_col)
