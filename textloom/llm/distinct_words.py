@@ -5,13 +5,15 @@ come back to the documents by position; decoding joins ids to their pieces.
 
 The table and the join are packed so that what is shuffled stays near the size of the texts:
 
-1. documents are dealt to chunks of bounded bytes by the hash of the row;
+1. documents are dealt to chunks of bounded bytes by the hash of the row and of its partition, so that even rows that are equal as a whole part;
 2. a chunk lists its distinct words, sorted, and sends them as one packet to each word bucket (the hash of the word): a
    frequent word is one entry per chunk, so no word is hot;
-3. a bucket encodes each distinct word once for all chunks and returns, for each packet, the ids in the order of its words;
-4. a chunk puts the ids back at the positions of its words, joins them to pieces, and joins the words of each document.
+3. a bucket encodes each distinct word once for all chunks, packet by packet, and returns for each packet the ids in the order of its words;
+4. a chunk puts the ids back at the positions of its words, joins them to pieces, and joins the pieces of each document.
 
-No group exceeds its bound: chunks by bytes, buckets by the number of distinct words over the number of chunks.
+There are as many chunks as the bytes of the texts ask for, and as many buckets as the number of distinct words asks for: packets grow as their product, so in
+proportion to the texts as far as the vocabulary stays the same. Each chunk and each bucket is a partition of its own. A task holds one chunk, or the distinct
+words of one bucket and one packet.
 """
 
 from __future__ import annotations
@@ -19,62 +21,97 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, quote_columns, row_key
+from .common import bounded_batches, map_batches, quote_columns, row_key, spark_words
 from .tokenizing import load_tokenizer, word_encoder
 
-#: Bytes of text in a chunk, about; a longer text is a chunk's larger part.
-CHUNK_BYTES = 48 << 20
+#: Bytes of text in a chunk, about (a longer text is a chunk's larger part), distinct words in a bucket, about, and words that are put together at once.
+CHUNK_BYTES, BUCKET_WORDS, SLICE_WORDS = 32 << 20, 1 << 18, 1 << 18
 
 
 @cache
-def pieces(path: str) -> dict[int, str]:
-    """The id-to-piece relation of a tokenizer; its size is that of the vocabulary."""
-    return {i: p for p, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items()}
-
-
-def bucket_of(word: bytes, n: int) -> int:
-    return zlib.crc32(word) % n
-
-
-def distinct_words(texts: pa.ChunkedArray, buckets: int) -> list[list[bytes]]:
-    """The distinct words of a chunk for each bucket, sorted, which fixes their positions."""
-    seen: set[bytes] = set()
-    for t in texts:
-        seen.update((t.as_py() or "").encode().split())
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in seen:
-        out[bucket_of(w, buckets)].append(w)
-    for words in out:
-        words.sort()
-    return out
+def pieces(path: str) -> pa.Array:
+    """The id-to-piece relation of a tokenizer, in id order; its size is that of the vocabulary."""
+    of = {i: p for p, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items()}
+    return pa.array([of.get(i, "") for i in range(max(of, default=-1) + 1)], pa.string())
+
+
+class ChunkWords:
+    """The words of a chunk: ``words`` has the distinct ones sorted by bucket and then by their bytes, ``at`` the place there of each word of the texts."""
+
+    def __init__(self, texts: pa.ChunkedArray, buckets: int):
+        lists = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        lists = lists.cast(pa.large_list(pa.large_string()))
+        self.counts = pc.list_value_length(lists).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        raw = coded.dictionary.cast(pa.large_binary())
+        by_bytes = pc.array_sort_indices(raw).to_numpy()
+        raw = raw.take(pa.array(by_bytes))
+        bucket = np.fromiter((zlib.crc32(w) for w in raw.to_pylist()), np.uint32, len(raw)) % np.uint32(buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.words, self.bucket = raw.take(pa.array(order)), bucket[order]
+        place = np.empty(len(order), np.int64)
+        place[by_bytes[order]] = np.arange(len(order))
+        self.at = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
+
+    def packets(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, its words) of the buckets that have any, in order; no word has a line feed."""
+        starts = np.flatnonzero(np.diff(self.bucket.astype(np.int64), prepend=-1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(self.bucket)], strict=True) if len(starts) else ():
+            yield int(self.bucket[s]), zstandard.compress(b"\n".join(self.words[s:e].to_pylist()))
+
+
+def words_in(packet: bytes) -> list[bytes]:
+    return zstandard.decompress(packet).split(b"\n")
 
 
 def pack_ids(each: list[bytes], width: int) -> bytes:
     """Numbers of ids, then the ids at ``width`` bytes; ``each`` has them as unsigned 32-bit integers."""
     counts = np.array([len(x) // 4 for x in each], "<u2" if all(len(x) < 1 << 18 for x in each) else "<u4")
-    return struct.pack("<IB", len(each), counts.itemsize) + counts.tobytes() + np.frombuffer(b"".join(each), "<u4").astype(f"<u{width}").tobytes()
+    return zstandard.compress(struct.pack("<IB", len(each), counts.itemsize) + counts.tobytes() + np.frombuffer(b"".join(each), "<u4").astype(f"<u{width}").tobytes())
 
 
-def unpack_ids(packed: bytes, width: int) -> list[bytes]:
+def unpack_ids(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids)."""
+    packed = zstandard.decompress(packed)
     n, size = struct.unpack_from("<IB", packed)
-    counts = np.frombuffer(packed, f"<u{size}", n, 5)
-    ids = np.frombuffer(packed, f"<u{width}", -1, 5 + n * size).astype("<u4").tobytes()
-    ends = (np.cumsum(counts, dtype=np.int64) * 4).tolist()
-    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return np.frombuffer(packed, f"<u{size}", n, 5).astype(np.int64), np.frombuffer(packed, f"<u{width}", -1, 5 + n * size).astype(np.uint32)
+
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` to ``start + count - 1`` of each pair, one range after another."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, with_content: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def packets_of(docs: DataFrame, words: str, chunk: str, buckets: int) -> DataFrame:
+    """The packets (``bucket``, ``chunk``, ``words``) of documents that are partitioned by ``chunk``."""
+
+    def send(group: pa.Table) -> pa.Table:
+        k = group.column(chunk)[0].as_py()
+        packets = [(b, k, w) for b, w in ChunkWords(group.column(words), buckets).packets()]
+        return pa.table(list(zip(*packets, strict=True)) or [[], [], []], pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary())]))
+
+    return docs.groupBy(chunk).applyInArrow(send, "bucket int, chunk int, words binary")
+
+
+def encode_decode(
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_words: int = BUCKET_WORDS, with_content: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text; with ``with_content`` also ``ids`` and ``decoded``.
 
     Ids are those of the tokenizers library without added special tokens; decoding joins the pieces of all ids by spaces, as the library does for
-    a tokenizer without decoder. ``keep`` names columns to carry along. The chunks' number comes from the bytes of the table.
+    a tokenizer without decoder. ``keep`` names columns to carry along. The numbers of chunks and buckets come from the bytes of the table and an
+    estimate of its distinct words; both only lay out the work.
 
     A null or empty text has no ids and decodes to an empty text; repeated rows each get a row; an empty table gives an
     empty result; further columns are ignored.
@@ -83,53 +120,51 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     bounded_batches(spark)
     tok = load_tokenizer(tokenizer_path)
     width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-    total = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
-    d = docs.select(*quote_columns(docs, *cols)).withColumn("_chunk", F.pmod(row_key(*cols), F.lit(n)).cast("int"))
-    d = d.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_chunk") if n > 1 else d
-
-    def send(group: pa.Table) -> pa.Table:
-        chunk = group.column("_chunk")[0].as_py()
-        packets = [(b, chunk, b"\n".join(words)) for b, words in enumerate(distinct_words(group.column(text_col), n)) if words]
-        return pa.table(list(zip(*packets, strict=True)) or [[], [], []], pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary())]))
-
-    def encode(group: pa.Table) -> pa.Table:
-        encoder, bucket = word_encoder(tokenizer_path), group.column("bucket")[0].as_py()
-        packets = [(c.as_py(), w.as_py().split(b"\n")) for c, w in zip(group.column("chunk"), group.column("words"), strict=True)]
-        table = encoder.encode_words(dict.fromkeys(w for _, words in packets for w in words))
-        return pa.table([[c for c, _ in packets], [bucket] * len(packets), [pack_ids([table[w] for w in words], width) for _, words in packets]], pa.schema([("_chunk", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary())]))
-
-    fields = [(c, None) for c in cols if c != text_col or c in keep]
+    d = docs.select(*quote_columns(docs, *cols))
+    text = F.col(f"`{text_col}`")
+    n = max(1, -(-(d.agg(F.sum(F.octet_length(text))).first()[0] or 0) // chunk_bytes))
+    buckets = max(1, -(-d.select(F.explode(spark_words(text)).alias("w")).agg(F.approx_count_distinct("w", 0.05)).first()[0] // bucket_words)) if n > 1 else 1
+    d = d.withColumn("_chunk", F.pmod(F.hash(row_key(*[F.col(f"`{c}`") for c in cols]), F.spark_partition_id()), F.lit(n)).cast("int")).repartitionById(n, F.col("_chunk"))
+    fields = [c for c in cols if c != text_col or c in keep]
+    d = d.select(*[F.col(f"`{c}`") for c in fields], "_chunk", spark_words(text).alias("_words"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = word_encoder(tokenizer_path), {}  # of one bucket, since each is a partition
+        for b in batches:
+            for i in range(len(b)):
+                words = words_in(b.column(2)[i].as_py())
+                table |= encoder.encode_words(set(words).difference(table))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(0).slice(i, 1), pa.array([pack_ids([table[w] for w in words], width)], pa.binary())], ["_chunk", "bucket", "ids"])
 
     def assemble(group: pa.Table, packets: pa.Table) -> pa.Table:
-        got = {b.as_py(): unpack_ids(x.as_py(), width) for b, x in zip(packets.column("bucket"), packets.column("ids"), strict=True)}
-        ids: dict[bytes, bytes] = {}
-        for b, words in enumerate(distinct_words(group.column(text_col), n)):
-            if words:
-                ids.update(zip(words, got.pop(b), strict=True))
-        piece = pieces(tokenizer_path)
-        text_of: dict[bytes, str] = {}
-        rows = []
-        for t in group.column(text_col):
-            words = (t.as_py() or "").encode().split()
-            own = b"".join([ids[w] for w in words])
-            parts = []
-            for w in words:
-                p = text_of.get(w)
-                if p is None:
-                    p = text_of[w] = " ".join([piece[i] for i in np.frombuffer(ids[w], "<u4").tolist()])
-                if p:
-                    parts.append(p)
-            decoded = " ".join(parts)
-            row = [len(own) // 4, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-            rows.append(row + [np.frombuffer(own, "<u4").astype(np.int64).tolist(), decoded] * with_content)
+        chunk = ChunkWords(group.column("_words"), buckets)
+        got = [unpack_ids(x, width) for _, x in sorted(zip(packets.column("bucket").to_pylist(), packets.column("ids").to_pylist(), strict=True))]
+        counts, ids = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        if len(counts) != len(chunk.words):
+            raise ValueError("the packets of a chunk don't have all its words")
+        starts, piece = np.cumsum(counts) - counts, pieces(tokenizer_path)
+        ends = np.cumsum(chunk.counts)
+        rows, doc = [], 0
+        while doc < len(group):
+            first = int(ends[doc] - chunk.counts[doc])
+            upto = max(doc + 1, int(np.searchsorted(ends, first + SLICE_WORDS, "right")))
+            at = chunk.at[first : int(ends[upto - 1])]
+            own = ids[ranges(starts[at], counts[at])]  # ids by the positions of the words
+            words = np.concatenate([[0], np.cumsum(counts[at])])
+            cuts = words[np.concatenate([[0], ends[doc:upto] - first])].tolist()
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), piece.take(pa.array(own))), " ")  # the join of ids and pieces
+            raw = memoryview(own.astype("<u4").tobytes())
+            for a, b, text in zip(cuts, cuts[1:], decoded.to_pylist(), strict=False):
+                row = [b - a, hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
+                rows.append(row + [own[a:b].astype(np.int64).tolist(), text] * with_content)
+            doc = upto
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()][: 5 if with_content else 3]
         out = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
-        return pa.table([*[group.column(c) for c, _ in fields], *out], names=[*[c for c, _ in fields], *["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds)]])
+        return pa.table([*[group.column(c) for c in fields], *out], names=[*fields, *["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds)]])
 
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c, _ in fields], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<long>, decoded string"] * with_content])
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<long>, decoded string"] * with_content])
     # both groupings take the same columns, so that Spark shuffles the texts once and reuses that exchange
-    sent = d.groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, words binary")
-    back = sent.groupBy("bucket").applyInArrow(encode, "_chunk int, bucket int, ids binary")
+    sent = packets_of(d, "_words", "_chunk", buckets).repartitionById(buckets, F.col("bucket"))
+    back = map_batches(sent, encode, "_chunk int, bucket int, ids binary").repartitionById(n, F.col("_chunk"))
     return d.groupBy("_chunk").cogroup(back.groupBy("_chunk")).applyInArrow(assemble, schema)
