@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, filter_of
-from .common import map_batches, materialize, mix, quote_columns
+from .common import hot_keys, join_hot, map_batches, materialize, mix, quote_columns
 
 #: Lower-cases A-Z; what is no ASCII digit, no ASCII letter and no byte of a character beyond ASCII parts words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     left, right = F.array_remove(F.split(left, " "), ""), F.array_remove(F.split(right, " "), "")
     fits = (F.col("p") >= F.col("o")) & (F.size(left) >= F.col("o")) & (F.size(right) >= F.col("n") - F.col("o"))  # positional and length bounds
     there = F.array_join(F.concat(F.slice(left, F.size(left) - F.col("o") + 1, F.col("o")), F.slice(right, F.lit(1), F.col("n") - F.col("o"))), " ") == w
-    hits = at.join(salted, ["h", "_salt"]).where(F.when(fits, there).otherwise(False)).select("_key", (F.col("p") - F.col("o")).alias("start"), "n", "w")
+    hits = at.join(salted, ["h", "_salt"]).where(F.when(fits, there).otherwise(False)).select("_key", "_salt", (F.col("p") - F.col("o")).alias("start"), "n", "w")
     hits = materialize(hits, "hits")
 
     # words inside: sorted starts of a document, each adding what the ends before it don't cover
@@ -166,6 +166,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("end"))
     covered = F.aggregate("s", zero, lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["end"]))).alias("sum"), F.greatest(a["end"], x["end"]).alias("end")), lambda a: a["sum"])
     n_hit = spans.select("_key", covered.alias("n_hit"))
-    named = hits.select("_key", "w").distinct().join(owners, "w").where(F.col("item").isNotNull()).groupBy("_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = probed.select(id_col, "_key", "n_words").join(n_hit, "_key", "left").join(named, "_key", "left")
-    return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    owners = owners.where(F.col("item").isNotNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a common passage is one window in very many texts
+    named = hits.select("_key", "_salt", "w").distinct().join(owners, ["w", "_salt"]).groupBy("_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    per_text = n_hit.join(named, "_key", "left")
+    none = F.lit(0).cast("long")
+    # rows without a place have no hits; of the others, copies of one text may be very many
+    some, rest = probed.where(F.size("found") > 0).select(id_col, "_key", "n_words"), probed.where(F.size("found") == 0)
+    counts = some.groupBy("_key").agg(F.count("*").alias("copies"))
+    out = join_hot(some, per_text, "_key", hot_keys(counts, "_key", "copies", probed.count()), [id_col, "n_words"]).select(id_col, "n_words", "n_hit", "items")
+    out = out.unionByName(rest.select(id_col, "n_words", none.alias("n_hit"), F.lit(None).cast("array<string>").alias("items")))
+    return out.select(id_col, "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
