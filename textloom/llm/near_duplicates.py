@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, filter_of
-from .common import BATCH_ROWS, map_batches, materialize, mix
+from .common import BATCH_ROWS, hot_keys, join_hot, map_batches, materialize, mix, salt_of, salted
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
@@ -48,9 +48,6 @@ RUN_ROWS, CELL_SHINGLES, CELL_PAIRS = 4096, 1 << 20, 1 << 20
 #: Edges that one task turns into stars at once, some tens of MB.
 EDGES_PER_PART = 200_000
 
-#: Salts over which a hot key is dealt, and how many keys can be hot: each holds a thousandth of the rows or more.
-SALTS, MOST_HOT = 16, 1000
-
 _rng = np.random.default_rng(20240501)
 MULTIPLY, ADD = (_rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 PLACE = (_rng.integers(1, 1 << 63, SHINGLE * 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -116,15 +113,6 @@ def neighbours(orders: np.ndarray, sketches: np.ndarray, least: float) -> Iterat
         yield rows[ok], rows[ok] - shift, estimate[ok]
 
 
-def salt_of(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(SALTS)).cast("int")
-
-
-def salted(few: DataFrame) -> DataFrame:
-    """Each row once for each ``salt``, for a join to a side whose keys may be hot."""
-    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _sorted_orders(classes: DataFrame) -> DataFrame:
     """Classes by tree and order: ``class``, ``label``, ``place`` (the tree and its values), ``sketch``; range-partitioned and sorted."""
 
@@ -471,9 +459,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = classes.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("many")).where("many > 1").drop("many")
     named = classes.withColumn("salt", salt_of("class")).join(salted(groups), ["label", "salt"], "left").select("class", "docs", F.coalesce("component", "least").alias("component"))
     # a class that holds a thousandth of all rows or more, and there are a thousand of those at most, is dealt over salts
-    hot = [bytes(r[0]) for r in classes.where(F.col("docs") * MOST_HOT >= rows.count()).select("class").take(MOST_HOT)]
-    is_hot = F.col("class").isin(hot) if hot else F.lit(False)
-    named = named.select("class", "component", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    out = rows.withColumn("salt", F.when(is_hot, salt_of("doc", "n_shingles")).otherwise(F.when(F.col("class").isNull(), salt_of("doc")).otherwise(0)))
-    out = out.join(named, ["class", "salt"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    hot = [bytes(x) for x in hot_keys(classes, "class", "docs", rows.count())]
+    out = join_hot(rows, named.select("class", "component"), "class", hot, ["doc", "n_shingles"]).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
