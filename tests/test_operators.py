@@ -1,6 +1,7 @@
 """Operators on small frames, with expectations worked out by hand or by brute force."""
 
 import math
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.stopwords import ENGLISH
 from textloom.operators import describe
+from textloom.operators.components import components, connected
 from textloom.operators.dbscan import cluster_pairs, dbscan
 from textloom.operators.kmeans import fit_kmeans, kmeans
+from textloom.operators.labels import numbered
 from textloom.operators.neighbours import neighbour_pairs
 from textloom.operators.reduce import pca_projection, tsne
-from textloom.operators.vectorize import EmptyVocabularyError, Matrix
+from textloom.operators.vectorize import EmptyVocabularyError, Matrix, word_statistics
 from textloom.operators.ward import cut, ward, ward_merges
 from textloom.pipeline import cluster
+from textloom.scatter import grid, save_scatter
 from textloom.spec import ClusterSpec, derived_path
 
 DOCS = [(0, "red apple apple pie"), (1, "red apple tart"), (2, "blue ocean wave"), (3, "blue ocean ship"), (4, None)]
@@ -68,8 +72,8 @@ def test_empty_vocabulary(spark):
 
 def test_blocks_do_not_change_the_pairs(docs):
     m = Matrix.of(docs, "text", "row_id")
-    one = sorted(map(tuple, neighbour_pairs(m.long, 0.7, 8).collect()))
-    assert one == sorted(map(tuple, neighbour_pairs(m.long, 0.7, 8, block_rows=1).collect())) == [(0, 1), (2, 3)]
+    one = sorted(map(tuple, neighbour_pairs(m.vectors, 0.7).collect()))
+    assert one == sorted(map(tuple, neighbour_pairs(m.vectors, 0.7, block_rows=1).collect())) == [(0, 1), (2, 3)]
 
 
 def test_border_goes_to_the_lowest_cluster(spark):
@@ -81,11 +85,11 @@ def test_border_goes_to_the_lowest_cluster(spark):
 
 def test_dbscan_edges(docs):
     m = Matrix.of(docs, "text", "row_id")
-    assert {r.cluster_label for r in dbscan(m.words, m.long, 8, 1.0, 5).collect()} == {0}
-    assert {r.cluster_label for r in dbscan(m.words, m.long, 8, 1.5, 6).collect()} == {-1}
-    assert {r.row_id: r.cluster_label for r in dbscan(m.words, m.long, 8, 0.7, 1).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    assert {r.cluster_label for r in dbscan(m.vectors, 1.0, 5).collect()} == {0}
+    assert {r.cluster_label for r in dbscan(m.vectors, 1.5, 6).collect()} == {-1}
+    assert {r.row_id: r.cluster_label for r in dbscan(m.vectors, 0.7, 1).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
     with pytest.raises(ValueError):
-        dbscan(m.words, m.long, 8, 0, 1)
+        dbscan(m.vectors, 0, 1)
 
 
 def test_dbscan_against_brute_force(spark):
@@ -93,7 +97,7 @@ def test_dbscan_against_brute_force(spark):
     words = [f"w{i}" for i in range(12)]
     data = [(i, " ".join(rng.choice(words, rng.integers(1, 6)))) for i in range(60)]
     m = Matrix.of(spark.createDataFrame(data, "row_id long, text string"), "text", "row_id")
-    got = {r.row_id: r.cluster_label for r in dbscan(m.words, m.long, len(m.model.terms), 0.4, 4).collect()}
+    got = {r.row_id: r.cluster_label for r in dbscan(m.vectors, 0.4, 4).collect()}
     x = np.zeros((60, len(m.model.terms)))
     for r in m.long.collect():
         x[r.row_id, r.term_idx] = r.unit
@@ -194,5 +198,64 @@ def test_blank_texts_and_missing_column(spark):
     df = spark.createDataFrame([(0, " "), (1, None), (2, "\t\n")], "id long, text string")
     r = cluster(df, ClusterSpec(id_column="id"))
     assert [tuple(x) for x in r.output().orderBy("id").select("cluster_label", "cluster_name").collect()] == [(-1, "")] * 3
-    with pytest.raises(ValueError, match="Available columns"):
+    with pytest.raises(ValueError, match="no column is called"):
         cluster(df, ClusterSpec(column="nope"))
+
+
+def test_counts_of_words_equal_counts_of_rows(spark):
+    words = spark.createDataFrame([(0, ["aa", "bb", "aa"]), (1, ["aa"]), (2, [])], "row_id long, words array<string>")
+    assert {tuple(r) for r in word_statistics(words).collect()} == {("aa", 3, 2), ("bb", 1, 1)}
+
+
+def test_components_of_several_parts(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(200, 201), (201, 202), (202, 200)]
+    want = {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 120)} | {201: 200, 202: 200}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for per_part in (1, 7, 1000):
+        got = connected(df, per_part)
+        assert {r.node: r.root for r in got.collect()} == want and got.count() == len(want)
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), 300]], "row_id long")
+    assert {tuple(r) for r in components(nodes, df).collect()} == {(i, 0) for i in range(41)} | {(300, 300)}
+    assert components(nodes, df.limit(0)).where("row_id <> root").count() == 0
+
+
+def test_numbered_over_several_ranges(spark):
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "v long").repartition(6)
+    assert {tuple(r) for r in numbered(df, "v", "n").collect()} == {(i, i) for i in range(101)}
+    assert numbered(df.limit(0), "v", "n").count() == 0
+
+
+@pytest.mark.parametrize("algorithm", ["kmeans", "dbscan", "agglomerative"])
+def test_identifiers_of_any_kind(spark, algorithm):
+    """Repeated and null identifiers keep their rows, each with its own label; so do identifiers that are texts, and a column called like the row's number."""
+    rows = [("a", "red apple pie", 1), ("a", "blue ocean wave", 2), (None, "red apple tart", 3), (None, "blue ocean ship", 4), ("b", "apple pie tart", 5), ("c", "ocean wave ship", 6)]
+    df = spark.createDataFrame(rows, "id string, text string, _row_id int")
+    out = cluster(df, ClusterSpec(id_column="id", algorithm=algorithm, n_clusters=2, eps=0.75, min_samples=2)).output().orderBy("_row_id").collect()
+    assert [(r.id, r.text, r._row_id) for r in out] == rows
+    assert [r.cluster_label for r in out] == [0, 1, 0, 1, 0, 1]
+
+
+def test_names_without_terms(docs):
+    spec = {"column": "text", "n_clusters": 2}
+    plain = {r.cluster_label: r.cluster_name for r in cluster(docs, ClusterSpec(**spec)).names.collect()}
+    assert set(plain) == {0, 1} and all(", " in v for v in plain.values())
+    assert {tuple(r) for r in cluster(docs, ClusterSpec(**spec, top_n=0)).names.collect()} == {(0, "cluster_0"), (1, "cluster_1")}
+    assert {tuple(r) for r in cluster(docs, ClusterSpec(**spec, name_top_n=0)).names.collect()} == {(0, ""), (1, "")}
+
+
+def test_scatter(spark, tmp_path):
+    points = spark.createDataFrame([(i, float(i % 10), float(i // 10), i % 3 - 1) for i in range(100)], "row_id long, x double, y double, label int")
+    save_scatter(points, str(tmp_path / "p.svg"), "a <b>")
+    root = ElementTree.parse(tmp_path / "p.svg").getroot()
+    dots = [e for e in root if e.tag.endswith("circle")]
+    assert len(dots) == 100 and len({e.get("fill") for e in dots}) == 3 and any(e.text == "a <b>" for e in root)
+    save_scatter(points.limit(0), str(tmp_path / "none.svg"), "none")
+    assert grid(points.withColumn("x", F.lit(1.0))).count() == 10
+
+
+def test_pca_of_sparse_vectors(docs):
+    m = Matrix.of(docs, "text", "row_id")
+    x = np.stack([r.features.toArray() for r in m.vectors.orderBy("row_id").collect()])
+    got = np.array([[r.x, r.y] for r in pca_projection(m.vectors).orderBy("row_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)

@@ -9,7 +9,7 @@ import pytest
 from textloom.bundle import load_bundle, save_bundle
 from textloom.cli import main
 from textloom.pipeline import cluster
-from textloom.sources.xlsx import list_sheets, load_excel, save_excel
+from textloom.sources.xlsx import list_sheets, load_excel, load_report, save_excel
 from textloom.spec import ClusterSpec
 from textloom.streaming import assign_stream
 
@@ -42,6 +42,7 @@ def test_read(spark, workbook):
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("note", "string"), ("note.1", "bigint"), ("Unnamed: 2", "string"), ("n", "double"), ("day", "timestamp_ntz"), ("ok", "boolean")]
     assert [tuple(r) for r in df.collect()] == [("rich text", 5, None, 1.5, dt.datetime(2024, 1, 1), True), (None, 7, None, None, None, False)]
     assert load_excel(spark, workbook, "1").columns == ["c"] and load_excel(spark, workbook, 0).columns[0] == "note"
+    assert load_report(df, workbook).first()[:2] == (2, 6) and load_report(df, workbook).first().size_kb > 0
     assert [r.name for r in list_sheets(spark, workbook).orderBy("ordinal").collect()] == ["first", "1"]
 
 
@@ -50,7 +51,7 @@ def test_read_errors(spark, workbook):
         load_excel(spark, workbook + "x")
     with pytest.raises(ValueError, match="xls format"):
         load_excel(spark, "/x/old.xls")
-    with pytest.raises(Exception, match="not found"):
+    with pytest.raises(Exception, match="no sheet is called"):
         load_excel(spark, workbook, "other").collect()
 
 
@@ -79,6 +80,7 @@ def test_command_line_bundle_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "new"))
     assign_stream(stream, bundle, "comments", "id", str(tmp_path / "placed"), str(tmp_path / "offsets")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "placed")).count() == 6
+    assert "circle" in (tmp_path / "in_clustered_vis_pca.svg").read_text()
     assert spark.read.parquet(str(tmp_path / "in_clustered_vis_pca.parquet")).columns == ["row_id", "x", "y", "label"]
 
 

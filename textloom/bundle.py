@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ class Bundle:
 
     spec: ClusterSpec
     vectorizer: VectorizerModel
-    centres: dict[int, list[float]]
+    centres: DataFrame
     names: DataFrame
     keywords: DataFrame
 
@@ -30,18 +29,20 @@ class Bundle:
         """``docs`` with ``cluster_label`` and ``cluster_name`` of the nearest centre.
 
         For k-means these are its own centres; for the other algorithms, which don't place new rows, the centroids of their clusters, an extension of ours.
-        There are as many centres as clusters, each of the vocabulary's size, so they are broadcast as a literal table.
+        A row is only held against the centres that share a term with it, and against the shortest of all: any other one that shares none is farther. Spark broadcasts the
+        centres if they are below its size limit.
         """
-        spark = docs.sparkSession
         words = token_table(docs, text, row_id, self.vectorizer.stop_words)
         sparse = self.vectorizer.long_form(words).select("row_id", "term_idx", "unit")
-        table = spark.createDataFrame([(label, i, v) for label, c in self.centres.items() for i, v in enumerate(c) if v], "label int, term_idx int, c double")
-        lengths = spark.createDataFrame([(label, float(sum(v * v for v in c))) for label, c in self.centres.items()], "label int, cc double")
-        dots = sparse.join(F.broadcast(table), "term_idx").groupBy("row_id", "label").agg(F.sum(F.col("unit") * F.col("c")).alias("dot"))
-        each = words.select("row_id").withColumn("label", F.explode(F.array(*[F.lit(k) for k in sorted(self.centres)])))
-        far = each.join(dots, ["row_id", "label"], "left").join(F.broadcast(lengths), "label").select("row_id", "label", (F.col("cc") - 2 * F.coalesce("dot", F.lit(0.0))).alias("d"))
-        near = far.groupBy("row_id").agg(F.min(F.struct(F.round("d", 12).alias("d"), "label")).alias("m")).select(F.col("row_id").alias("_row"), F.col("m.label").alias("cluster_label"))
-        return describe.with_names(docs.drop("cluster_label").join(near, docs[row_id] == near["_row"], "left").drop("_row"), self.names)
+        table = self.centres.where("value <> 0").select(F.col("cluster_label").alias("label"), F.col("pos").alias("term_idx"), F.col("value").alias("c"))
+        lengths = self.centres.groupBy(F.col("cluster_label").alias("label")).agg(F.sum(F.col("value") ** 2).alias("cc"))
+        shortest = lengths.select(F.struct(F.round("cc", 12).alias("d"), "label").alias("m")).orderBy("m").first()
+        dots = sparse.join(table, "term_idx").groupBy("row_id", "label").agg(F.sum(F.col("unit") * F.col("c")).alias("dot"))
+        far = dots.join(lengths, "label").select("row_id", F.struct(F.round(F.col("cc") - 2 * F.col("dot"), 12).alias("d"), "label").alias("m"))
+        near = far.groupBy("row_id").agg(F.min("m").alias("m")).select(F.col("row_id").alias("_row"), "m")
+        least = F.struct(F.lit(shortest.m.d).alias("d"), F.lit(shortest.m.label).alias("label"))
+        placed = docs.drop("cluster_label").join(near, docs[f"`{row_id}`"] == near["_row"], "left").withColumn("cluster_label", F.least("m", least)["label"]).drop("_row", "m")
+        return describe.with_names(placed, self.names)
 
 
 def _centres(result: ClusteringResult) -> DataFrame:
@@ -52,8 +53,9 @@ def _centres(result: ClusteringResult) -> DataFrame:
         pairs = canonical(vectors).join(vectors, "row_id").select("cluster_label", "label").distinct().collect()  # one row for each cluster
         found = result.model.clusterCenters()
         return spark.createDataFrame([(r.cluster_label, i, float(v)) for r in pairs for i, v in enumerate(found[r.label])], "cluster_label int, pos int, value double")
-    v = result.matrix.vectors.join(result.labels.where("cluster_label <> -1"), "row_id")
-    return v.select("cluster_label", F.posexplode(vector_to_array("features")).alias("pos", "v")).groupBy("cluster_label", "pos").agg(F.avg("v").alias("value"))
+    means = describe.cluster_term_means(result.matrix.long, result.labels).join(result.matrix.model.table(spark).select("term", "term_idx"), "term")
+    none = result.labels.where("cluster_label <> -1").select("cluster_label", F.lit(0).alias("pos"), F.lit(0.0).alias("value")).distinct()  # a cluster without terms has a centre too
+    return means.select("cluster_label", F.col("term_idx").alias("pos"), F.col("mean").alias("value")).unionByName(none).groupBy("cluster_label", "pos").agg(F.sum("value").alias("value"))
 
 
 def save_bundle(result: ClusteringResult, path: str) -> None:
@@ -80,7 +82,4 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     conf["stop_words"] = tuple(conf["stop_words"]) if conf["stop_words"] is not None else None
     v, about = get("vocabulary").orderBy("term_idx").collect(), get("vectorizer").first()
     model = VectorizerModel(tuple(r.term for r in v), tuple(r.idf for r in v), tuple(r.cf for r in v), tuple(r.df for r in v), about.n_docs, tuple(about.stop_words))
-    centres: dict[int, list[float]] = {}
-    for r in get("centres").collect():
-        centres.setdefault(r.cluster_label, [0.0] * len(v))[r.pos] = r.value
-    return Bundle(ClusterSpec(**conf), model, centres, get("names"), get("keywords"))
+    return Bundle(ClusterSpec(**conf), model, get("centres"), get("names"), get("keywords"))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bundle import save_bundle
 from .pipeline import ClusteringResult, cluster
+from .scatter import save_scatter
 from .sources.xlsx import load_excel, save_excel
 from .spec import ALGORITHMS, PROJECTIONS, ClusterSpec, derived_path
+from .storage import materialize
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min_samples", type=int, default=5)
     p.add_argument("--max_features", type=int, default=2000)
     p.add_argument("-o", "--output", help="default: the input with _clustered")
-    p.add_argument("-v", "--visualize", action="store_true", help="write the projected points")
+    p.add_argument("-v", "--visualize", action="store_true", help="write the projected points and draw them")
     p.add_argument("--vis_method", choices=PROJECTIONS, default="pca")
     p.add_argument("--perplexity", type=float, default=30.0)
     p.add_argument("--random_state", type=int, default=42)
@@ -55,14 +57,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     result = cluster(df, spec)
     out = a.output or derived_path(a.input, "_clustered" + (".xlsx" if sheet else ".parquet"))
     _write(result.output(), out)
-    print(f"Saved results to {out}")
+    print(f"rows and labels: {out}")
     if result.keywords is not None:
         from .operators.describe import keyword_lines
 
         for r in keyword_lines(result.keywords).join(result.names, "cluster_label").orderBy("cluster_label").collect():  # a row for each cluster
-            print(f"Cluster {r.cluster_label} ({r.cluster_name}): {r.keywords}")
+            print(f"{r.cluster_label}\t{r.cluster_name}\t{r.keywords}")
         if spec.visualize:
-            result.embedding().write.mode("overwrite").parquet(derived_path(out, f"_vis_{spec.visualize}.parquet"))
+            points = materialize(result.embedding(), "points")
+            points.write.mode("overwrite").parquet(derived_path(out, f"_vis_{spec.visualize}.parquet"))
+            save_scatter(points, derived_path(out, f"_vis_{spec.visualize}.svg"), f"Clusters ({spec.visualize})")
         if a.save_model:
             save_bundle(result, a.model_path or derived_path(out, "_model"))
     return result

@@ -1,49 +1,73 @@
-"""Connected components of a long edge table by least-label propagation with shared-folder checkpoints."""
+"""Connected components of an edge table, without a task or a key that a large component would fill.
+
+Each round turns parts of a bounded number of edges into stars, one part for a task, and then takes a large-star and a small-star step between
+the parts (Kiveris and others 2014), until nothing moves. If one part holds all edges, its stars are the components. State is written to the shared
+folder in each round.
+"""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session may go without and gets a temporary folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        own = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-    return found
+#: Edges that one task turns into stars at once, some tens of MB, and rows of a batch of results.
+EDGES_PER_PART, BATCH_ROWS = 200_000, 2000
 
 
-def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _contract(edges: DataFrame, parts: int) -> DataFrame:
+    """The edges (u, v) of each of ``parts`` parts as stars: every node with the least node that the part's edges lead to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        kind = pa.null()
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``row_id``, ``root`` (the least ``row_id`` of the component) for ``nodes`` (row_id) and undirected ``edges`` (a, b).
+        def find(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        nodes = [x for x in parent if parent[x] != x]
+        for i in range(0, len(nodes), BATCH_ROWS):
+            part = nodes[i : i + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array(map(find, part), kind)], ["u", "v"])
+
+    return edges.select("u", "v").coalesce(parts).mapInArrow(run, edges.select("u", "v").schema)
 
-    Each round a node takes the least root among its neighbours, then its root's root, so chains shorten by half.
-    """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    now = checkpointed(nodes.select("row_id", F.col("row_id").alias("root")), "roots")
+
+def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
+    """``node`` and ``root``, the least node of its component, for each node in ``edges`` (a, b); every node but the roots themselves has a row."""
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = None
     while True:
-        least = both.join(now.select(F.col("row_id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = now.join(least, now["row_id"] == least["a"], "left").select("row_id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("row_id").alias("root"), F.col("root").alias("far"))
-        new = checkpointed(step.join(jump, "root", "left").select("row_id", F.least("root", F.coalesce("far", "root")).alias("root"), "was"), "roots")
-        moved = not new.where("root <> was").isEmpty()
-        now = new.select("row_id", "root")
-        if not moved:
-            return now
+        parts = max(1, -(-e.count() // per_part))
+        e = materialize(_contract(e, parts), "edges")
+        if parts == 1:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # large star: neighbours above a node are joined to its least neighbour
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: a node and its neighbours below are joined to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        e = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, state = state, tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+        if state == before:  # a digest of all edges has stayed the same
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``row_id``, ``root`` (the least ``row_id`` of the component) for ``nodes`` (row_id) and undirected ``edges`` (a, b)."""
+    roots = connected(edges)
+    return nodes.join(roots, nodes["row_id"] == roots["node"], "left").select("row_id", F.coalesce("root", "row_id").alias("root"))

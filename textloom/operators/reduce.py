@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +14,16 @@ TSNE_MOST_ROWS = 5000
 
 
 def pca_projection(vectors: DataFrame) -> DataFrame:
-    """``row_id``, ``x``, ``y``: centred principal components, the largest loading of each positive."""
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="c").fit(vectors).transform(vectors)
-    model = PCA(k=2, inputCol="c", outputCol="p").fit(centred)
+    """``row_id``, ``x``, ``y``: centred principal components, the largest loading of each positive.
+
+    The model centres its covariance itself; the projection of the mean is taken off afterwards, so that sparse vectors are never made dense.
+    """
+    model = PCA(k=2, inputCol="features", outputCol="p").fit(vectors)
     loads = model.pc.toArray()
+    mean = vectors.select(Summarizer.mean(F.col("features"))).first()[0].toArray() @ loads
     sign = [1.0 if loads[np.abs(loads[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
     p = vector_to_array("p")
-    return model.transform(centred).select("row_id", (p[0] * sign[0]).alias("x"), (p[1] * sign[1]).alias("y"))
+    return model.transform(vectors).select("row_id", *(((p[j] - float(mean[j])) * sign[j]).alias(c) for j, c in enumerate(("x", "y"))))
 
 
 def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: int = 300) -> tuple[np.ndarray, list[float]]:
@@ -81,7 +85,7 @@ def project(vectors: DataFrame, method: str = "pca", perplexity: float = 30.0, s
         return pca_projection(vectors)
     if method == "tsne":
         return tsne_projection(vectors, perplexity, seed, sample=sample)
-    raise ValueError(f"Unknown visualization method: {method}; choose 'pca' or 'tsne'")
+    raise ValueError(f"no projection is called {method!r}: there are pca and tsne")
 
 
 def embedding_frame(projected: DataFrame, labels: DataFrame) -> DataFrame:

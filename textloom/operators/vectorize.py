@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import coerce_text, preprocess, tokens, without_stop_words
+from ..storage import materialize, spread
 
 
 class EmptyVocabularyError(ValueError):
@@ -27,7 +28,7 @@ class EmptyVocabularyError(ValueError):
 
 def token_table(docs: DataFrame, text: str, row_id: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
     """``row_id``, ``words``: tokens less stop words."""
-    return docs.select(F.col(row_id).alias("row_id"), without_stop_words(tokens(preprocess(coerce_text(F.col(text)))), stop_words).alias("words"))
+    return docs.select(F.col(f"`{row_id}`").alias("row_id"), without_stop_words(tokens(preprocess(coerce_text(F.col(f"`{text}`")))), stop_words).alias("words"))
 
 
 def term_frequency(words: DataFrame) -> DataFrame:
@@ -35,9 +36,10 @@ def term_frequency(words: DataFrame) -> DataFrame:
     return words.select("row_id", F.explode("words").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(tf: DataFrame) -> DataFrame:
-    """``term``, ``cf`` (all occurrences) and ``df`` (documents)."""
-    return tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+def word_statistics(words: DataFrame) -> DataFrame:
+    """``term``, ``cf`` (all occurrences) and ``df`` (documents); both are combined in each map task, so what is shuffled is one row for each term and task."""
+    each = F.concat(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
+    return words.select(F.explode(each).alias("x")).select("x.*").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def vocabulary(stats: DataFrame, max_features: int) -> DataFrame:
@@ -65,21 +67,24 @@ class VectorizerModel:
         rows = [(t, i, c, d, w) for i, (t, c, d, w) in enumerate(zip(self.terms, self.cf, self.df, self.idf, strict=True))]
         return spark.createDataFrame(rows, "term string, term_idx int, cf long, df long, idf double")
 
+    def _scaled(self, words: DataFrame) -> DataFrame:
+        count = CountVectorizerModel.from_vocabulary(list(self.terms), "words", "tf")
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="tf", outputCol="weighted")
+        return Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(scale.transform(count.transform(words)))
+
     def long_form(self, words: DataFrame) -> DataFrame:
-        """``row_id``, ``term``, ``term_idx``, ``tf``, ``weight`` and ``unit`` (weight over the row's length).
+        """``row_id``, ``term``, ``term_idx``, ``tf``, ``weight`` and ``unit`` (weight over the row's length); no shuffle.
 
-        The vocabulary has a fixed bound and is broadcast; the length is a window over the row that the tf aggregate has already placed.
+        The vocabulary has a fixed bound and is broadcast.
         """
-        kept = term_frequency(words).join(F.broadcast(self.table(words.sparkSession)), "term").withColumn("weight", F.col("tf") * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("row_id")))
-        return kept.select("row_id", "term", "term_idx", "tf", "weight", (F.col("weight") / norm).alias("unit"))
+        tf, weighted, unit = (F.unwrap_udt(c) for c in ("tf", "weighted", "features"))
+        each = F.explode(F.arrays_zip(tf["indices"].alias("term_idx"), tf["values"].alias("tf"), weighted["values"].alias("weight"), unit["values"].alias("unit")))
+        rows = self._scaled(words).select("row_id", each.alias("x")).select("row_id", "x.term_idx", F.col("x.tf").cast("long").alias("tf"), "x.weight", "x.unit")
+        return rows.join(F.broadcast(self.table(words.sparkSession).select("term_idx", "term")), "term_idx").select("row_id", "term", "term_idx", "tf", "weight", "unit")
 
     def vectors(self, words: DataFrame) -> DataFrame:
         """``row_id``, ``features``: sparse unit vectors, zero for rows without a term; no shuffle."""
-        count = CountVectorizerModel.from_vocabulary(list(self.terms), "words", "tf")
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="tf", outputCol="weighted")
-        unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-        return unit.transform(scale.transform(count.transform(words))).select("row_id", "features")
+        return self._scaled(words).select("row_id", "features")
 
 
 @dataclass(frozen=True)
@@ -89,10 +94,10 @@ class TextVectorizer:
     max_features: int = 2000
     stop_words: tuple[str, ...] = ENGLISH
 
-    def fit(self, docs: DataFrame, text: str = "text", row_id: str = "row_id") -> VectorizerModel:
-        words = token_table(docs, text, row_id, self.stop_words)
-        n = docs.count()
-        rows = vocabulary(term_statistics(term_frequency(words)), self.max_features).transform(lambda v: idf(v, n)).orderBy("term_idx").collect()
+    def fit(self, words: DataFrame) -> VectorizerModel:
+        """From the words of all documents (row_id, words), as :func:`token_table` gives them."""
+        n = words.count()
+        rows = vocabulary(word_statistics(words), self.max_features).transform(lambda v: idf(v, n)).orderBy("term_idx").collect()
         if not rows:
             raise EmptyVocabularyError("empty vocabulary: the texts have no term besides stop words and single characters")
         return VectorizerModel(tuple(r.term for r in rows), tuple(r.idf for r in rows), tuple(r.cf for r in rows), tuple(r.df for r in rows), n, self.stop_words)
@@ -107,12 +112,12 @@ class Matrix:
 
     @classmethod
     def of(cls, docs: DataFrame, text: str, row_id: str, max_features: int = 2000, stop_words: tuple[str, ...] = ENGLISH) -> Matrix:
-        model = TextVectorizer(max_features, stop_words).fit(docs, text, row_id)
-        return cls(model, token_table(docs, text, row_id, stop_words))
+        words = materialize(token_table(spread(docs), text, row_id, stop_words), "words")  # texts are read and cut once
+        return cls(TextVectorizer(max_features, stop_words).fit(words), words)
 
     @cached_property
     def long(self) -> DataFrame:
-        return self.model.long_form(self.words).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.model.long_form(self.words)
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -122,6 +127,5 @@ class Matrix:
         return self.model.n_docs, len(self.model.terms)
 
     def unpersist(self) -> None:
-        for name in ("long", "vectors"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+        if "vectors" in self.__dict__:
+            self.__dict__.pop("vectors").unpersist()

@@ -19,6 +19,7 @@ from .operators.vectorize import Matrix
 from .operators.ward import ward
 from .sources.xlsx import require_column
 from .spec import ClusterSpec
+from .storage import materialize
 
 log = logging.getLogger("textloom")
 
@@ -51,39 +52,47 @@ class ClusteringResult:
 
     def output(self, include_names: bool = True) -> DataFrame:
         out = self.rows if include_names else self.rows.drop("cluster_name")
-        return out if self.row_column == self.spec.id_column else out.orderBy(self.row_column).drop(self.row_column)
+        return (out if self.spec.id_column else out.orderBy(self.row_column)).drop(self.row_column)
 
 
 def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """Ascending numbers in the order of the source's partitions, without a shuffle."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """``df`` written to the shared folder with numbers in the order of the source's partitions: without a shuffle, and the same however often they are read."""
+    while name in df.columns:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def cluster(df: DataFrame, spec: ClusterSpec) -> ClusteringResult:
-    """Cluster the rows of ``df`` by the text in ``spec.column``."""
+    """Cluster the rows of ``df`` by the text in ``spec.column``.
+
+    Rows have numbers of their own, so identifiers in ``spec.id_column`` may repeat, be null or of any type; that column only says that the output needs no order.
+    """
     require_column(df, spec.column)
     if spec.id_column:
         require_column(df, spec.id_column)
-    row = spec.id_column or "_row_id"
-    docs = df if spec.id_column else with_row_id(df).persist()
-    if docs.where(~is_blank(F.col(spec.column))).isEmpty():
-        log.warning("all texts are blank: every row gets the label -1")
+    docs = with_row_id(df)
+    row = docs.columns[-1]
+    log.info("%s: %d rows, %d columns", spec.column, docs.count(), len(df.columns))
+    if docs.where(~is_blank(F.col(f"`{spec.column}`"))).isEmpty():
+        log.warning("no text is left after normalising: every row gets the label -1")
         rows = all_noise(docs).withColumn("cluster_name", F.lit(""))
         labels = rows.select(F.col(row).alias("row_id"), "cluster_label")
         return ClusteringResult(spec, rows, labels, row, describe.cluster_stats(labels))
     matrix = Matrix.of(docs, spec.column, row, spec.max_features, spec.stop_words if spec.stop_words is not None else ENGLISH)
+    log.info("TF-IDF: %d rows, %d terms", *matrix.shape())
     model = None
     if spec.algorithm == "kmeans":
         model, labels = kmeans(matrix.vectors, spec.n_clusters, spec.seed, spec.restarts)
     elif spec.algorithm == "dbscan":
-        labels = dbscan(matrix.words, matrix.long, len(matrix.model.terms), spec.eps, spec.min_samples)
+        labels = dbscan(matrix.vectors, spec.eps, spec.min_samples)
     else:
         labels = ward(matrix.vectors, spec.n_clusters, spec.seed, spec.approximate)
-    labels = labels.persist()
+    labels = materialize(labels, "labels")
+    clusters = labels.where("cluster_label <> -1").select("cluster_label").distinct()
+    log.info("%s: %d clusters", spec.algorithm, clusters.count())
     vocab = matrix.model.table(df.sparkSession)
-    keywords = describe.cluster_keywords(describe.cluster_term_means(matrix.long, labels), vocab, labels, spec.top_n).persist()
-    names = describe.cluster_names(keywords, spec.name_top_n, spec.name_joiner, spec.name_noise)
-    if spec.name_top_n == 0:
-        names = names.withColumn("cluster_name", F.concat(F.lit("cluster_"), F.col("cluster_label")))
+    keywords = materialize(describe.cluster_keywords(describe.cluster_term_means(matrix.long, labels), vocab, labels, spec.top_n), "keywords")
+    names = describe.cluster_names(keywords, spec.name_top_n, spec.name_joiner, spec.name_noise, clusters)
+    log.info("keywords and names are ready")
     rows = describe.with_names(with_labels(docs, labels, row), names)
     return ClusteringResult(spec, rows, labels, row, describe.cluster_stats(labels), keywords, names, matrix, model)

@@ -15,9 +15,10 @@ from ..operators.kmeans import kmeans, kmeans_fixed_init
 from ..operators.labels import all_noise
 from ..operators.neighbours import neighbour_pairs
 from ..operators.reduce import embedding_frame, pca_projection, tsne_projection
-from ..operators.vectorize import Matrix, idf, term_frequency, term_statistics, token_table, vocabulary
+from ..operators.vectorize import Matrix, idf, term_frequency, token_table, vocabulary, word_statistics
 from ..operators.ward import ward
 from ..sources.xlsx import column_list, table_profile
+from ..storage import materialize, spread
 from .oracle import ORACLE_SQL
 
 V, EPS, MIN_SAMPLES, TOP_N, NAME_TOP_N, JOINER = 2000, 0.5, 5, 10, 3, ", "
@@ -40,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table(documents(spark, sf_dir), "text", "doc_id")
+    return token_table(spread(documents(spark, sf_dir)), "text", "doc_id")
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -49,7 +50,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> Matrix:
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[Matrix, DataFrame]:
     m = matrix(spark, sf_dir)
-    return m, dbscan(m.words, m.long, len(m.model.terms), EPS, MIN_SAMPLES)
+    return m, materialize(dbscan(m.vectors, EPS, MIN_SAMPLES), "labels")
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +95,7 @@ def all_blank_labels(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    return spread(documents(spark, sf_dir)).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
 
 
 @query
@@ -109,17 +110,17 @@ def term_frequencies(spark, sf_dir):
 
 @query
 def vocabulary_topk(spark, sf_dir):
-    return vocabulary(term_statistics(term_frequency(words(spark, sf_dir))), V)
+    return vocabulary(word_statistics(words(spark, sf_dir)), V)
 
 
 @query
 def document_frequency(spark, sf_dir):
-    return term_statistics(term_frequency(words(spark, sf_dir))).select("term", "df")
+    return word_statistics(words(spark, sf_dir)).select("term", "df")
 
 
 @query
 def inverse_document_frequency(spark, sf_dir):
-    v = vocabulary(term_statistics(term_frequency(words(spark, sf_dir))), V)
+    v = vocabulary(word_statistics(words(spark, sf_dir)), V)
     return idf(v, documents(spark, sf_dir).count()).select("term", F.round("idf", 9).alias("idf"))
 
 
@@ -147,13 +148,13 @@ def matrix_shape(spark, sf_dir):
 @query
 def neighbor_pairs(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return neighbour_pairs(m.long, EPS, len(m.model.terms))
+    return neighbour_pairs(m.vectors, EPS)
 
 
 @query
 def dbscan_core_points(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return core_points(m.words, neighbour_pairs(m.long, EPS, len(m.model.terms)), MIN_SAMPLES).withColumnRenamed("row_id", "doc_id")
+    return core_points(m.vectors, neighbour_pairs(m.vectors, EPS), MIN_SAMPLES).withColumnRenamed("row_id", "doc_id")
 
 
 @query

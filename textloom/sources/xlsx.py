@@ -47,7 +47,7 @@ def local_path(path: str) -> str:
 def _open(path: str) -> zipfile.ZipFile:
     path = local_path(path)
     if not os.path.isfile(path):
-        raise FileNotFoundError(f"Input file not found: {path}")
+        raise FileNotFoundError(f"there is no file {path}")
     return zipfile.ZipFile(path)
 
 
@@ -70,7 +70,7 @@ def pick_sheet(book: zipfile.ZipFile, sheet: str | None) -> str:
             return part
     if sheet.isdigit() and int(sheet) < len(entries):
         return entries[int(sheet)][1]
-    raise ValueError(f"Sheet '{sheet}' not found. Available sheets: {[n for n, _ in entries]}")
+    raise ValueError(f"no sheet is called {sheet!r}: there are {[n for n, _ in entries]}")
 
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +106,11 @@ def sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list]:
     """Cells of each row, in place; rows and cells that the file leaves out are None."""
     shared, dates, expected = _shared_strings(book), _date_styles(book), 1
     with book.open(part) as f:
-        for _, row in ElementTree.iterparse(f):
+        table = None
+        for event, row in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                table = row if row.tag == f"{MAIN}sheetData" else table
+                continue
             if row.tag != f"{MAIN}row":
                 continue
             at = int(row.get("r", expected))
@@ -130,7 +134,7 @@ def sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list]:
                 elif kind == "n":
                     x = float(v)
                     cells[k] = EPOCH + dt.timedelta(seconds=round(x * 86400, 3)) if int(c.get("s", -1)) in dates else int(x) if x.is_integer() and abs(x) < 1e15 and "." not in v and "e" not in v.lower() else x
-            row.clear()
+            table.clear()  # rows that have been read
             yield cells
 
 
@@ -146,23 +150,49 @@ def header_names(cells: list) -> list[str]:
     return out
 
 
-def load_sheet(path: str, sheet: str | None, keep_na: bool = False) -> tuple[StructType, list[tuple]]:
+def _body(rows: Iterator[list], keep_na: bool) -> Iterator[list]:
+    """Rows below the header, with None for what is missing; blank rows at the end are left out."""
+    blank = []
+    for r in rows:
+        r = [None if v == "" or not keep_na and isinstance(v, str) and v in NA_STRINGS else v for v in r]
+        if all(v is None for v in r):
+            blank.append(r)
+        else:
+            yield from blank
+            blank = []
+            yield r
+
+
+def sheet_schema(path: str, sheet: str | None, keep_na: bool = False) -> StructType:
+    """The columns of a sheet, from one pass that keeps the kinds of cells it has seen, and no rows."""
     with _open(path) as book:
-        rows = list(sheet_rows(book, pick_sheet(book, sheet)))
-    width = max(map(len, rows), default=0)
-    names = header_names((rows[0] if rows else []) + [None] * (width - len(rows[0] if rows else [])))
-    body = [[None if not keep_na and isinstance(v, str) and v in NA_STRINGS or v == "" else v for v in [*r, *[None] * (width - len(r))]] for r in rows[1:]]
-    while body and all(v is None for v in body[-1]):
-        body.pop()
+        rows = sheet_rows(book, pick_sheet(book, sheet))
+        header = next(rows, [])
+        width, n, seen, filled = len(header), 0, {}, {}
+        for r in _body(rows, keep_na):
+            n += 1
+            width = max(width, len(r))
+            for j, v in enumerate(r):
+                if v is not None:
+                    seen.setdefault(j, set()).add(type(v))
+                    filled[j] = filled.get(j, 0) + 1
+    names = header_names(header + [None] * (width - len(header)))
     kinds = []
     for j in range(width):
-        seen = {type(r[j]) for r in body if r[j] is not None}
-        gap = any(r[j] is None for r in body)
-        kinds.append(
-            BooleanType() if seen == {bool} else TimestampNTZType() if seen == {dt.datetime} else LongType() if seen == {int} and not gap else DoubleType() if seen and seen <= {int, float} else StringType())
-    schema = StructType([StructField(n, k) for n, k in zip(names, kinds, strict=True)])
-    convert = [(lambda v: float(v)) if isinstance(k, DoubleType) else (lambda v: v if isinstance(v, str) else _text(v)) if isinstance(k, StringType) else (lambda v: v) for k in kinds]
-    return schema, [tuple(None if v is None else f(v) for v, f in zip(r, convert, strict=True)) for r in body]
+        k, gap = seen.get(j, set()), filled.get(j, 0) < n
+        kinds.append(BooleanType() if k == {bool} else TimestampNTZType() if k == {dt.datetime} else LongType() if k == {int} and not gap else DoubleType() if k and k <= {int, float} else StringType())
+    return StructType([StructField(c, k) for c, k in zip(names, kinds, strict=True)])
+
+
+def sheet_tuples(path: str, sheet: str | None, keep_na: bool, schema: StructType) -> Iterator[tuple]:
+    """The rows of a sheet one by one, by the columns' kinds."""
+    convert = [float if isinstance(f.dataType, DoubleType) else (lambda v: v if isinstance(v, str) else _text(v)) if isinstance(f.dataType, StringType) else (lambda v: v) for f in schema]
+    with _open(path) as book:
+        rows = sheet_rows(book, pick_sheet(book, sheet))
+        next(rows, None)
+        for r in _body(rows, keep_na):
+            r += [None] * (len(convert) - len(r))
+            yield tuple(None if v is None else f(v) for v, f in zip(r, convert, strict=False))
 
 
 def _text(v) -> str:
@@ -172,7 +202,7 @@ def _text(v) -> str:
 
 
 class XlsxDataSource(DataSource):
-    """A sheet of a workbook; the format needs one reader, since a sheet is one compressed stream."""
+    """A sheet of a workbook, row by row; the format needs one reader, since a sheet is one compressed stream."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,7 +212,7 @@ class XlsxDataSource(DataSource):
         return self.options["path"], self.options.get("sheet"), self.options.get("keepnastrings", self.options.get("keepNaStrings", "false")).lower() == "true"
 
     def schema(self) -> StructType:
-        return load_sheet(*self._args())[0]
+        return sheet_schema(*self._args())
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self._args(), schema)
@@ -199,10 +229,10 @@ class _Reader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:
-        schema, rows = load_sheet(*self.args)
+        schema = sheet_schema(*self.args)
         at = [schema.names.index(n) for n in self.wanted.names]
         text = [isinstance(f.dataType, StringType) for f in self.wanted]
-        for r in rows:
+        for r in sheet_tuples(*self.args, schema):
             yield tuple(None if r[i] is None else _text(r[i]) if t and not isinstance(r[i], str) else r[i] for i, t in zip(at, text, strict=True))
 
 
@@ -311,7 +341,7 @@ def load_excel(spark: SparkSession, path: str, sheet: str | int | None = None, s
     register(spark)
     local = local_path(path)
     if not os.path.isfile(local):
-        raise FileNotFoundError(f"Input file not found: {path}")
+        raise FileNotFoundError(f"there is no file {path}")
     reader = spark.read.format("xlsx")
     reader = reader.option("sheet", str(sheet)) if sheet is not None else reader
     return (reader.schema(schema) if schema else reader).load(local)
@@ -324,7 +354,7 @@ def save_excel(df: DataFrame, path: str, sheet: str = "Sheet1", truncate: bool =
 
 def require_column(df: DataFrame, column: str) -> None:
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found. Available columns: {df.columns}")
+        raise ValueError(f"no column is called {column!r}: there are {df.columns}")
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -332,6 +362,11 @@ def table_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
+def load_report(df: DataFrame, path: str) -> DataFrame:
+    """``n_rows``, ``n_columns``, ``size_kb`` of the file and ``columns``: what a load tells."""
+    return table_profile(df).select("n_rows", "n_columns", F.lit(round(os.path.getsize(local_path(path)) / 1024, 1)).alias("size_kb"), F.lit(", ".join(df.columns)).alias("columns"))
+
+
 def column_list(df: DataFrame) -> DataFrame:
     """``ordinal``, ``name`` of the columns, in order."""
     return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ordinal int, name string")

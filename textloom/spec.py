@@ -33,10 +33,10 @@ class ClusterSpec:
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:
-            raise ValueError(f"Unknown algorithm: {self.algorithm}; choose one of {', '.join(ALGORITHMS)}")
+            raise ValueError(f"no algorithm is called {self.algorithm!r}: there are {', '.join(ALGORITHMS)}")
         if self.visualize is not None and self.visualize not in PROJECTIONS:
-            raise ValueError(f"Unknown visualization method: {self.visualize}; choose 'pca' or 'tsne'")
-        for name, least in (("n_clusters", 1), ("min_samples", 1), ("max_features", 1), ("top_n", 1), ("name_top_n", 0), ("restarts", 1)):
+            raise ValueError(f"no projection is called {self.visualize!r}: there are {', '.join(PROJECTIONS)}")
+        for name, least in (("n_clusters", 1), ("min_samples", 1), ("max_features", 1), ("top_n", 0), ("name_top_n", 0), ("restarts", 1)):
             if getattr(self, name) < least:
                 raise ValueError(f"{name} must be at least {least}")
         if not self.eps > 0:
