@@ -27,8 +27,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,20}PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s:,-])*+)-----END \1-----")
+PEM_BYTES = re.compile(PEM.pattern.encode())
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Where a key may begin: 0x30 gives M; the other magic and an armoured key in base64 give more. In hex, 30 or the magic.
+KEY_START = re.compile("M|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+HEX_START = re.compile("30|6f70656e7373682d6b65792d763100", re.I)
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
 
@@ -53,8 +57,18 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def is_rsa(items: list[tuple[int, bytes]]) -> bool:
+    """PKCS #1: version, modulus, exponents, primes."""
+    return len(items) >= 9 and {t for t, _ in items[:9]} == {0x02} and items[0][1] in (b"\0", b"\1") and all(v for _, v in items[:9])
+
+
+def is_ec(items: list[tuple[int, bytes]]) -> bool:
+    """SEC 1: version, number, parameters and public key."""
+    return [t for t, _ in items[:2]] == [0x02, 0x04] and items[0][1] == b"\1" and len(items[1][1]) >= 16 and all(t in (0xA0, 0xA1) and der_items(v) for t, v in items[2:])
+
+
 def is_der_key(data: bytes) -> bool:
-    """A private key in DER: PKCS #1, PKCS #8 (also encrypted) or SEC 1, with every nested length right."""
+    """A private key in DER: PKCS #1, PKCS #8 (also encrypted) or SEC 1, with every nested length right, those of the key inside PKCS #8 as well."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = der_items(data)
@@ -62,31 +76,71 @@ def is_der_key(data: bytes) -> bool:
         return False
     tags = [t for t, _ in inner]
     if tags[:3] == [0x02, 0x30, 0x04] and inner[0][1] in (b"\0", b"\1"):  # version, algorithm, key
-        algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and bool(inner[2][1])
-    if len(tags) >= 9 and set(tags[:9]) == {0x02} and inner[0][1] in (b"\0", b"\1"):  # version, modulus, exponents, primes
-        return all(v for _, v in inner[:9])
-    if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\1" and len(inner[1][1]) >= 16:  # elliptic curve
-        return all(t in (0xA0, 0xA1) for t in tags[2:])
+        algorithm, key = der_items(inner[1][1]), der_items(inner[2][1])
+        if not algorithm or algorithm[0][0] != 0x06 or not key or len(key) != 1 or not all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]):
+            return False
+        if key[0][0] == 0x30:
+            return bool(parts := der_items(key[0][1])) and (is_rsa(parts) or is_ec(parts))
+        return key[0][0] == 0x02 and bool(key[0][1]) or key[0][0] == 0x04 and len(key[0][1]) >= 32  # a number alone, or the octets of a curve of fixed form
     if tags == [0x30, 0x04]:  # encrypted: algorithm, data
         algorithm = der_items(inner[0][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm) == 2 and len(inner[1][1]) >= 16
-    return False
+        return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm) == 2 and der_items(algorithm[1][1]) is not None and len(inner[1][1]) >= 16 and len(inner[1][1]) % 8 == 0
+    return is_rsa(inner) or is_ec(inner)
+
+
+def fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that fill ``data``, or None."""
+    out, i = [], 0
+    while i < len(data):
+        n = int.from_bytes(data[i : i + 4], "big")
+        if i + 4 + n > len(data):
+            return None
+        out.append(data[i + 4 : i + 4 + n])
+        i += 4 + n
+    return out
+
+
+SSH_MAGIC = b"openssh-key-v1\0"
+
+
+def ssh_key_size(data: bytes, start: int = 0) -> int:
+    """Bytes of the OpenSSH private key that begins at ``start``, or 0: its magic, cipher, derivation and options, public keys whose own fields fit, and the private part."""
+    if not data.startswith(SSH_MAGIC, start):
+        return 0
+    at = start + len(SSH_MAGIC)
+
+    def field() -> bytes:
+        nonlocal at
+        begin, at = at + 4, at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            raise ValueError("a field runs over the end")
+        return data[begin:at]
+
+    try:
+        cipher, _, _ = field(), field(), field()
+        count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if not 1 <= count <= 64:
+            return 0
+        for _ in range(count):
+            parts = fields(field())
+            if not parts or len(parts) < 2 or not re.fullmatch(rb"[a-z0-9@.-]{4,64}", parts[0]):
+                return 0
+        private = field()
+    except ValueError:
+        return 0
+    if len(private) < 8 or len(private) % 8 or cipher == b"none" and private[:4] != private[4:8]:
+        return 0
+    return at - start
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: its magic, then length-prefixed fields that fit."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    i = len(magic)
-    for _ in range(3):  # cipher, derivation, its options
-        if i + 4 > len(data):
-            return False
-        i += 4 + int.from_bytes(data[i : i + 4], "big")
-    if i + 4 > len(data) or not 1 <= int.from_bytes(data[i : i + 4], "big") <= 64:
-        return False
-    return True
+    return bool(data) and ssh_key_size(data) == len(data)
+
+
+def is_sealed(headers: str, data: bytes) -> bool:
+    """The body of a PEM key that is encrypted as a whole: its header names cipher and start value, and the body is whole blocks."""
+    m = re.search(r"^DEK-Info: ?[A-Z0-9-]{4,20},([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s*$", headers, re.M)
+    return bool(m) and "Proc-Type: 4,ENCRYPTED" in headers and len(data) >= 64 and len(data) % (len(m[1]) // 2) == 0
 
 
 def decode64(text: str) -> bytes | None:
@@ -121,27 +175,90 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that begins with ``head`` (8 bytes at least), or 0 if none does that may be a key."""
+    if head[0] != 0x30:
+        return 0
+    if head[1] < 0x80:
+        size, at = head[1], 2
+    elif 0x81 <= head[1] <= 0x83:
+        at = 2 + (head[1] & 0x7F)
+        size = int.from_bytes(head[2:at], "big")
+    else:
+        return 0
+    return at + size if head[at] in (0x02, 0x30) else 0
+
+
+def keys_in_base64(run: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in a run of base64 characters: they may be glued to what stands before and after. Each place costs a few characters unless a header is right there."""
+    at, decoded = 0, {}
+
+    def bytes_at(i: int) -> tuple[bytes, int]:
+        """The run as bytes and where they begin at ``i``; it is decoded once for each of the four alignments."""
+        if (a := i % 4) not in decoded:
+            decoded[a] = decode64(run[a : len(run) - ((len(run) - a) % 4 == 1)]) or b""
+        return decoded[a], (i - a) // 4 * 3
+
+    for m in KEY_START.finditer(run):
+        i = m.start()
+        if i < at:
+            continue
+        if m[0] == "M":
+            head = decode64(run[i : i + 12])
+            size = der_size(head) if head and len(head) >= 8 else 0
+            chars = -(-size * 4 // 3)
+            if size < 24 or i + chars > len(run) or not (data := decode64(run[i : i + chars])) or not is_der_key(data):
+                continue
+            kind = "der_key"
+        elif m[0].startswith("b3"):
+            size = ssh_key_size(*bytes_at(i))
+            if not size:
+                continue
+            chars, kind = -(-size * 4 // 3), "ssh_key"
+        else:
+            data, start = bytes_at(i)
+            inner = PEM_BYTES.match(data, start)
+            if not inner or not pem_proved(PEM.match(inner[0].decode("ascii"))):
+                continue
+            chars, kind = -(-len(inner[0]) * 4 // 3), "pem_key"
+        at = i + chars
+        yield i, at, kind
+
+
+def pem_proved(m: re.Match) -> bool:
+    """Whether the body of a PEM block has the structure of a key."""
+    headers, body = [x for x in m[2].split("\n") if ":" in x], "".join(x for x in m[2].split("\n") if ":" not in x)
+    data = decode64("".join(body.split()))
+    return bool(data) and (is_der_key(data) or is_ssh_key(data) or is_sealed("\n".join(headers), data))
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     out, armoured = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
-            data = decode64("".join(body.split()))
-            if data and (is_der_key(data) or is_ssh_key(data) or "Proc-Type: 4,ENCRYPTED" in m[2]):
+            if pem_proved(m):
                 out.append((m.start(), m.end(), "pem_key"))
                 armoured.append((m.start(), m.end()))
-    inside = lambda m: any(s <= m.start() < e for s, e in armoured)
     for m in BASE64.finditer(text):
-        if inside(m) or not (m[0].startswith("M") or m[0].startswith("b3Blbn")):  # 0x30 begins with M, the other magic with b3Blbn
+        if any(s <= m.start() < e for s, e in armoured):
             continue
-        data = decode64(m[0])
-        if data and is_der_key(data):
-            out.append((m.start(), m.end(), "der_key"))
-        elif data and is_ssh_key(data):
-            out.append((m.start(), m.end(), "ssh_key"))
+        for s, e, kind in keys_in_base64(m[0].rstrip("=")):
+            e += m.start()
+            pad = len(m[0]) - len(m[0].rstrip("="))
+            out.append((m.start() + s, e + (pad if e + pad == m.end() else 0), kind))
     for m in LONG_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "hex_key"))
+        at, run = 0, m[0]
+        halves = [bytes.fromhex(run[a : len(run) - (len(run) - a) % 2]) for a in (0, 1)] if "6f70656e" in run.lower() else []
+        hex_at = lambda i, halves=halves: (halves[i % 2], i // 2)
+        for k in HEX_START.finditer(m[0]):
+            i = k.start()
+            if i < at:
+                continue
+            size = der_size(bytes.fromhex(m[0][i : i + 16])) if k[0] == "30" and i + 16 <= len(m[0]) else 0 if k[0] == "30" else ssh_key_size(*hex_at(i))
+            if size < 24 or i + 2 * size > len(m[0]) or k[0] == "30" and not is_der_key(bytes.fromhex(m[0][i : i + 2 * size])):
+                continue
+            at = i + 2 * size
+            out.append((m.start() + i, m.start() + at, "hex_key"))
     out += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[0])] if "." in text else []
     return out
 
