@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,54 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete_at_exit, delete_path, materialize, shared_dir  # noqa: F401  (for the operators here)
+
 #: Limits of one Arrow batch between the JVM and Python; with the second one a few very long texts make a batch of their own.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without that setting: it then gets a temporary folder that goes at exit.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        own = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system it is."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: later jobs read files that outlive any executor. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        delete_path(spark, path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the size of Arrow batches so that a worker's memory does not depend on the length of texts."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

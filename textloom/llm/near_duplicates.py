@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .bloom import Bloom, filter_of
-from .common import BATCH_ROWS, hot_keys, join_hot, map_batches, materialize, mix, salt_of, salted
+from .common import hot_keys, join_hot, map_batches, materialize, mix, salt_of, salted
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
@@ -45,8 +46,6 @@ MEMO_ENTRIES = 500_000
 BEST_ROUNDS = 2
 #: What one part holds: rows of a run, or shingles of a region's sets (8 bytes each); two parts make a cell, which one task reads. Pairs of entries looked at together.
 RUN_ROWS, CELL_SHINGLES, CELL_PAIRS = 4096, 1 << 20, 1 << 20
-#: Edges that one task turns into stars at once, some tens of MB.
-EDGES_PER_PART = 200_000
 
 _rng = np.random.default_rng(20240501)
 MULTIPLY, ADD = (_rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -348,58 +347,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb"), run, "a binary, b binary")
 
 
-def _contract(edges: DataFrame, parts: int) -> DataFrame:
-    """The edges (u, v) of each of ``parts`` parts as stars: every node with the least node that the part's edges lead to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-        kind = pa.null()
-
-        def find(x):
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        for b in batches:
-            kind = b.schema.field(0).type
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                u, v = find(u), find(v)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-        nodes = [x for x in parent if parent[x] != x]
-        for i in range(0, len(nodes), BATCH_ROWS):
-            part = nodes[i : i + BATCH_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array(map(find, part), kind)], ["u", "v"])
-
-    return map_batches(edges.select("u", "v").coalesce(parts), run, edges.select("u", "v").schema.simpleString()[7:-1])
-
-
-def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
-    """``node`` and ``root``, the least node of its component, for each node in ``edges`` (a, b); every node but the roots themselves has a row.
-
-    Each round turns parts of about ``per_part`` edges into stars, one part for a task, and then takes a large-star and a small-star step between the
-    parts, until nothing moves. If one part holds all edges, its stars are the components.
-    """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        parts = max(1, -(-e.count() // per_part))
-        e = materialize(_contract(e, parts), "edges")
-        if parts == 1:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        # large star: neighbours above a node are joined to its least neighbour
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its neighbours below are joined to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        before, state = state, tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if state == before:  # a digest of all edges has stayed the same
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` with labels joined along links between labels."""
     roots = salted(connected(links))  # a large group's label stands in very many rows

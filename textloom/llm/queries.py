@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import delete_at_exit, shared_dir
 from .decontamination import decontaminate
 from .distinct_words import encode_decode
 from .html_text import extract_pages
@@ -47,6 +47,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     write_token_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
     return read_token_shards(spark, folder)
 

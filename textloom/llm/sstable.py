@@ -12,12 +12,13 @@ so a lookup asks the filter, searches the index by bisection, and reads one bloc
 with their first and last keys and the ids before each; only the files that it names count.
 
 Recovery: a task writes a file with a name of its own and tells that name when it has ended; a task that is run again writes another
-file. The driver writes the manifest last, from the tasks that Spark counts, and then deletes files that it doesn't name.
+file. The driver writes the manifest last, from the tasks that Spark counts, and then deletes shards that it doesn't name, and nothing else.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from .common import map_batches, quote_columns
 from .tokenizing import load_tokenizer, word_encoder
@@ -39,6 +41,8 @@ MAGIC, END = b"TLSST001", b"TLSSTEND"
 FOOTER = struct.Struct("<QQQQQQBI8s")
 BLOCK_BYTES, BITS_PER_KEY, PROBES = 64 << 10, 10, 7
 MANIFEST = "MANIFEST.json"
+#: Names of shards; no other file in the folder is ever deleted.
+OWN_NAME = re.compile("shard-[0-9a-f]{32}\\.sst")
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -80,19 +84,18 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 class Bloom:
-    def __init__(self, keys: list[bytes] | None = None, bits: np.ndarray | None = None):
-        self.bits = bits if bits is not None else np.zeros(max(64, len(keys) * BITS_PER_KEY) // 8 + 1, np.uint8)
-        for k in keys or ():
-            for p in self._places(k):
+    def __init__(self, hashes: list[int] | None = None, bits: np.ndarray | None = None):
+        self.bits = bits if bits is not None else np.zeros(max(64, len(hashes) * BITS_PER_KEY) // 8 + 1, np.uint8)
+        for h in hashes or ():
+            for p in self._places(h):
                 self.bits[p >> 3] |= 1 << (p & 7)
 
-    def _places(self, key: bytes) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(key)
+    def _places(self, h: int) -> list[int]:
         a, b, m = h & (1 << 64) - 1, h >> 64 | 1, len(self.bits) * 8
         return [(a + i * b) % m for i in range(PROBES)]
 
     def __contains__(self, key: bytes) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self._places(key))
+        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self._places(xxhash.xxh3_128_intdigest(key)))
 
 
 class ShardWriter:
@@ -102,12 +105,12 @@ class ShardWriter:
         self.out, self.width = out, width
         self.at = out.write(MAGIC)
         self.block, self.last, self.entries, self.ids, self.before, self.in_block = bytearray(), b"", 0, 0, 0, 0
-        self.index, self.keys, self.first = [], [], None
+        self.index, self.hashes, self.first = [], [], None
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self.first is None:
             self.first = key
-        elif key < self.keys[-1]:
+        elif key < self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if self.block:
@@ -116,7 +119,7 @@ class ShardWriter:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids)) + key[shared:] + ids.astype(f"<u{self.width}").tobytes()
         self.last, self.in_block = key, self.in_block + 1
-        self.keys.append(key)
+        self.hashes.append(xxhash.xxh3_128_intdigest(key))
         self.entries += 1
         self.ids += len(ids)
         if len(self.block) >= BLOCK_BYTES:
@@ -130,7 +133,7 @@ class ShardWriter:
 
     def close(self) -> dict:
         self._end_block()
-        index, bloom = json.dumps(self.index).encode(), Bloom(self.keys).bits.tobytes()
+        index, bloom = json.dumps(self.index).encode(), Bloom(self.hashes).bits.tobytes()
         crc = zlib.crc32(bloom, zlib.crc32(index))
         self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.entries, self.ids, self.width, crc, END))
         return {"first": (self.first or b"").hex(), "last": self.last.hex(), "entries": self.entries, "ids": self.ids}
@@ -191,8 +194,10 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, end
     block by block. The driver gets one row for each shard.
 
     A null text counts as empty (the end id alone); null identifiers come first; rows that repeat an identifier stand side by side,
-    ordered by the hash of their text; an empty table gives a manifest without shards; further columns are ignored.
+    ordered by the hash of their text; an empty table gives a manifest without shards; further columns are ignored. Identifiers must be integers or strings.
     """
+    if not isinstance(docs.schema[id_col].dataType, (IntegralType, StringType)):
+        raise ValueError(f"identifiers must be integers or strings, not {docs.schema[id_col].dataType.simpleString()}")
     width = 2 if max(load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
@@ -223,9 +228,9 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, end
     manifest = {"tokenizer": tokenizer_path.rpartition("/")[2], "end_id": end_id, "width": width, "ids": base, "shards": shards}
     with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
         f.write(json.dumps(manifest).encode())
-    named = {s["name"] for s in shards} | {MANIFEST}
+    named = {s["name"] for s in shards}
     for x in fs.get_file_info(pafs.FileSelector(root)):
-        if x.base_name not in named:
+        if x.type == pafs.FileType.File and OWN_NAME.fullmatch(x.base_name) and x.base_name not in named:
             fs.delete_file(x.path)
     return manifest
 
@@ -243,19 +248,19 @@ def read_token_shards(spark: SparkSession, folder: str, *, id_type: str = "long"
     if not shards:
         return spark.createDataFrame([], schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.string() if id_type == "string" else pa.int64()
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                shard, rows, held = Shard(f"{folder.rstrip('/')}/{shards[k]['name']}"), [], 0
+    kind = pa.string() if id_type == "string" else pa.int64()
 
-                def batch(rows):
-                    cols = list(zip(*rows, strict=True))
-                    arrays = [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4])] + [pa.array(c, pa.list_(pa.int64())) for c in cols[4:]]
-                    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        arrays = [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4])] + [pa.array(c, pa.list_(pa.int64())) for c in cols[4:]]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shard, rows, held = Shard(f"{folder.rstrip('/')}/{name}"), [], 0
                 for key, before, ids in shard:
-                    rows.append((key_value(key), shards[k]["base"] + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] * with_ids)))
+                    rows.append((key_value(key), base + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.tolist()] * with_ids)))
                     held += len(ids) * with_ids
                     if len(rows) >= 10_000 or held > 1 << 20:
                         yield batch(rows)
@@ -263,7 +268,8 @@ def read_token_shards(spark: SparkSession, folder: str, *, id_type: str = "long"
                 if rows:
                     yield batch(rows)
 
-    return map_batches(spark.range(0, len(shards), 1, len(shards)), run, schema)
+    listed = spark.createDataFrame([(i, s["name"], s["base"]) for i, s in enumerate(shards)], "i int, name string, base long")
+    return map_batches(listed.repartitionById(len(shards), F.col("i")).select("name", "base"), run, schema)
 
 
 def lookup_ids(folder: str, key: int | str | None) -> list[list[int]]:
