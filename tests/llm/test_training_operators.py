@@ -584,6 +584,33 @@ def test_quality_classifier(spark, none):
     assert quality_classifier.score_quality(none, model).count() == 0
     again = quality_classifier.train(docs.repartition(5), labels, max_rows=200)
     assert (again.value == model.value).all()
+    # rows that repeat, and bounds on what is learnt from
+    twice = quality_classifier.train(docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" z")))), labels.unionByName(labels), max_rows=200)
+    assert (twice.value == model.value).all()
+    assert (quality_classifier.train(docs, labels, max_rows=200, max_bytes=20_000).value != model.value).any()
+    # whole texts of any length: the score is the softmax of the average of the features' numbers
+    odd = [(1, LONG), (2, "x" * 200_000), (3, "river " * 50_000), (3, "river " * 50_000), (4, "BUY!! ###")]
+    for r in quality_classifier.score_quality(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        keys, shares = quality_classifier.document_features(dict(odd)[r.doc_id])
+        assert abs(r.score - model.probability(float(model.value[keys] @ shares.astype(float)))) < 1e-6
+
+
+def test_quality_classifier_descends():
+    """Each step goes down the gradient of the loss of its document: against a numerical gradient."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    e, w, b, shares, y = rng.normal(size=(5, 3)), rng.normal(size=(2, 3)), rng.normal(size=2), np.array([0.1, 0.2, 0.3, 0.25, 0.15]), 1
+    loss = lambda e: float(np.log(np.exp(w @ (shares @ e) + b).sum()) - (w @ (shares @ e) + b)[y])
+    z = np.exp(w @ (shares @ e) + b)
+    g = z / z.sum()
+    g[y] -= 1
+    step = shares[:, None] * (g @ w)
+    for i in range(5):
+        for j in range(3):
+            moved = e.copy()
+            moved[i, j] += 1e-6
+            assert abs((loss(moved) - loss(e)) / 1e-6 - step[i, j]) < 1e-5
 
 
 def test_long_word_features():

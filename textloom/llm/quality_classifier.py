@@ -1,8 +1,9 @@
 """Quality classifier with supervised subword embeddings.
 
-Each word, its character n-grams and each pair of neighbouring words have a learned vector in a hashed table; a document is the average of its vectors; a softmax
-layer gives the classes. Vectors and layer are trained together by stochastic gradient descent in numpy. Since the layer is
-linear, a trained feature comes down to one number, so scoring a text is a mean of numbers looked up by word.
+Each word, its character n-grams and each word n-gram (two neighbouring words) have a learned vector in a hashed table; a document is the average of its vectors; a softmax
+layer gives the classes. Vectors and layer are trained together by plain stochastic gradient descent in numpy; since a vector's gradient has its small share of the
+document as a factor, the vectors have a higher rate than the layer. The layer is linear, so a trained feature comes down to one number, and scoring a text is a
+mean of numbers looked up by word.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, quote_columns
+from .common import map_batches, materialize, quote_columns
 
-#: Labelled rows to learn from, at most: those with the least hashes of their identifiers. This is the only bound on what is read.
-MAX_TRAINING_ROWS = 2500
-BUCKETS, DIMENSIONS, EPOCHS, RATE, GRAMS = 1 << 17, 8, 6, 0.5, (3, 4)
+#: Labelled rows to learn from, at most, and bytes of their features: those with the least hashes of their identifiers. These are the only bounds on what is read.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2500, 256 << 20
+BUCKETS, DIMENSIONS, EPOCHS, RATE, VECTOR_RATE, GRAMS = 1 << 17, 8, 6, 0.5, 10.0, (3, 4)
 MEMO_ENTRIES, MEMO_LONGEST = 300_000, 40
 
 
@@ -39,7 +40,7 @@ def word_features(word: str) -> list[int]:
 
 
 def pair_features(words: list[str]) -> list[int]:
-    """Buckets of neighbouring words; a word that follows itself has one bucket for all words."""
+    """Buckets of word n-grams of two; a word that follows itself has one bucket for all words."""
     same = zlib.crc32(b"p=") % BUCKETS
     return [same if a == b else zlib.crc32(f"p{a} {b}".encode()) % BUCKETS for a, b in zip(words, words[1:], strict=False)]
 
@@ -69,7 +70,7 @@ class SubwordClassifier:
         total, step = EPOCHS * max(1, len(used)), 0
         for _ in range(EPOCHS):
             for i in rng.permutation(used):
-                rate = RATE * (1 - step / total)
+                left = 1 - step / total
                 step += 1
                 keys, shares = docs[i]
                 rows = e[keys]
@@ -80,10 +81,9 @@ class SubwordClassifier:
                 g[int(labels[i])] -= 1
                 g *= weight[int(labels[i])]
                 back = g @ w
-                w -= rate * np.outer(g, h).astype(np.float32)
-                b -= rate * g
-                # a feature's own step is scaled by its share against an even one, so that rare but telling features learn too
-                e[keys] -= rate * np.sqrt(shares)[:, None] * back
+                w -= RATE * left * np.outer(g, h).astype(np.float32)
+                b -= RATE * left * g
+                e[keys] -= VECTOR_RATE * left * shares[:, None] * back
         self.value = (e @ (w[1] - w[0])).astype(np.float64)
         self.bias = float(b[1] - b[0] + np.log(weight[0] / weight[1]))
         return self
@@ -117,16 +117,19 @@ class Scorer:
         return self.model.probability(total / (n + len(pairs)) if n else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> SubwordClassifier:
-    """Learn from at most ``max_rows`` labelled rows that are not held out, chosen by the hash of their identifiers.
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES
+) -> SubwordClassifier:
+    """Learn from at most ``max_rows`` labelled rows that are not held out, chosen by the hash of their identifiers, as far as their features have ``max_bytes``.
 
-    What comes to the driver is bounded by ``max_rows``. Rows without label, identifier or text are not learnt from; of
-    an identifier that repeats in a table any row may serve, ordered by label and text for a fixed result.
+    What comes to the driver is bounded by both. Rows without label, identifier or text are not learnt from; of
+    an identifier that repeats in a table one row serves, the one with the least label or text, chosen before anything is collected.
     """
-    lab = labels.select(labels[id_col].alias("_lid"), labels[label_col].cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_lid").isNotNull() & ~held_out(F.col("_lid")))
+    lab = labels.select(labels[f"`{id_col}`"].alias("_lid"), labels[f"`{label_col}`"].cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_lid").isNotNull() & ~held_out(F.col("_lid")))
     lab = lab.groupBy("_lid").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
-    text = docs.select(*quote_columns(docs, id_col, text_col)).where(F.col(text_col).isNotNull())
-    rows = text.join(F.broadcast(lab), F.col(id_col) == F.col("_lid")).select("_lid", "_y", text_col)  # lab has max_rows rows of two numbers
+    text = docs.select(*quote_columns(docs, id_col, text_col)).where(F.col(f"`{text_col}`").isNotNull())
+    rows = text.join(F.broadcast(lab), F.col(f"`{id_col}`") == F.col("_lid")).select("_lid", "_y", F.col(f"`{text_col}`").alias("_text"))  # lab has max_rows rows of two numbers
+    rows = rows.groupBy("_lid", "_y").agg(F.min("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,11 +137,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k.tobytes() for k, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["id", "y", "keys", "shares"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = map_batches(rows, run, f"id {kind}, y int, keys binary, shares binary").toArrow().to_pydict()
-    one = {}
-    for row in sorted(zip(got["id"], got["y"], got["keys"], got["shares"], strict=True)):
-        one.setdefault(row[0], row)
-    rows = list(one.values())
+    made = materialize(map_batches(rows, run, f"id {kind}, y int, keys binary, shares binary"), "features")
+    total, chosen = 0, []
+    for r in made.select("id", (F.length("keys") + F.length("shares")).alias("size")).orderBy(F.xxhash64("id"), "id").collect():  # max_rows pairs of numbers
+        total += r.size
+        if total > max_bytes:
+            break
+        chosen.append(r.id)
+    got = made.where(F.col("id").isin(chosen)).toArrow().to_pydict() if len(chosen) < max_rows else made.toArrow().to_pydict()
+    rows = sorted(zip(got["id"], got["y"], got["keys"], got["shares"], strict=True))
     return SubwordClassifier().fit([(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for _, _, k, v in rows], np.array([y for _, y, _, _ in rows]))
 
 
