@@ -14,7 +14,7 @@ pytest.importorskip("textloom.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from textloom.llm import decontamination, distinct_words, html_text, near_duplicates, pii, quality_classifier, quality_rules, secrets, sstable, tokenizing  # noqa: E402
-from textloom.llm.queries import tokenizer_path  # noqa: E402
+from textloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).parent))
 SF = "/root/testdata/sf0.01"
@@ -644,3 +644,19 @@ def test_pipeline_rows(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     got = sorted((str(r.doc_id), r.text.split()[0]) for r in docs.collect())
     assert got == [("4", "word4x0"), ("4", "word5x0"), ("5", "word6x0"), ("None", "word1x0"), ("None", "word2x0")]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    if not Path(SF).exists():
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    names = sorted(d[0] for d in want.description)
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == names
+    rows = [dict(zip([d[0] for d in want.description], r, strict=True)) for r in want.fetchall()]
+    assert by_row(got, *names) == expect([tuple(r[n] for n in names) for r in rows])
