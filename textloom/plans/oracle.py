@@ -54,6 +54,28 @@ def _lloyd(k: int, iterations: int) -> str:
     return "WITH " + ",\n".join(out) + f"\nSELECT vec_id, lab AS cluster_label FROM a{iterations}"
 
 
+def _pca(steps: int = 12) -> str:
+    """Two principal components of ``embeddings`` from repeated squares of the covariance: the power 2 ** ``steps`` leaves the first one, and what remains of the covariance gives the second."""
+    out = [
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)",
+        "c AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v)",
+        "m0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2)",
+    ]
+    for p in (0, 1):
+        out.append(f"p{p}s0 AS (SELECT i, j, x FROM m{p})")
+        for k in range(steps):
+            out.append(f"p{p}q{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM p{p}s{k} a JOIN p{p}s{k} b ON a.j = b.i GROUP BY 1, 2)")
+            out.append(f"p{p}s{k + 1} AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM p{p}q{k}) AS x FROM p{p}q{k})")
+        last = f"p{p}s{steps}"
+        out.append(f"w{p} AS MATERIALIZED (SELECT i, x FROM {last} WHERE j = (SELECT j FROM {last} WHERE i = j ORDER BY x DESC LIMIT 1))")
+        out.append(f"e{p} AS MATERIALIZED (SELECT i, x / (SELECT sqrt(sum(x * x)) FROM w{p}) * (SELECT sign(x) FROM w{p} ORDER BY abs(x) DESC LIMIT 1) AS x FROM w{p})")
+        if not p:
+            out.append("l0 AS (SELECT sum(a.x * m0.x * b.x) AS l FROM m0 JOIN e0 a ON a.i = m0.i JOIN e0 b ON b.i = m0.j)")
+            out.append("m1 AS MATERIALIZED (SELECT m0.i, m0.j, m0.x - (SELECT l FROM l0) * a.x * b.x AS x FROM m0 JOIN e0 a ON a.i = m0.i JOIN e0 b ON b.i = m0.j)")
+    out.append("xy AS (SELECT vec_id, round(sum(c.x * e0.x), 6) AS x, round(sum(c.x * e1.x), 6) AS y FROM c JOIN e0 USING (i) JOIN e1 USING (i) GROUP BY 1)")
+    return "WITH " + ",\n".join(out) + "\n"
+
+
 _L = f"WITH RECURSIVE {LABELS}\n"
 _K = f"WITH RECURSIVE {KEYWORDS}\n"
 
@@ -89,4 +111,6 @@ ORACLE_SQL: dict[str, str] = {
     "clustered_with_names": _K + "SELECT doc_id, cluster_label, coalesce(cluster_name, '') AS cluster_name FROM labels LEFT JOIN names USING (cluster_label)",
     "rename_clusters": _K + "SELECT cluster_label, CASE WHEN cluster_label = 0 THEN 'first cluster' ELSE cluster_name END AS cluster_name FROM names",
     "kmeans_fixed_centres": _lloyd(5, 3),
+    "pca_embedding": _pca() + "SELECT vec_id, x, y FROM xy",
+    "plot_frame": _pca() + "SELECT vec_id, x, y, label FROM xy JOIN embeddings USING (vec_id)",
 }

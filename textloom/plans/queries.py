@@ -238,20 +238,30 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").alias("cluster_label"))
 
 
+def rounded(points: DataFrame) -> DataFrame:
+    return points.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
 @query
 def pca_embedding(spark, sf_dir):
-    return pca_projection(embeddings(spark, sf_dir).select("row_id", "features")).withColumnRenamed("row_id", "vec_id")
+    return rounded(pca_projection(embeddings(spark, sf_dir).select("row_id", "features"))).withColumnRenamed("row_id", "vec_id")
+
+
+@query
+def pca_documents(spark, sf_dir):
+    """The documents' TF-IDF vectors."""
+    return pca_projection(matrix(spark, sf_dir).vectors).withColumnRenamed("row_id", "doc_id")
 
 
 @query
 def tsne_embedding(spark, sf_dir):
-    return tsne_projection(embeddings(spark, sf_dir).select("row_id", "features"), iterations=150).withColumnRenamed("row_id", "vec_id")
+    return tsne_projection(embeddings(spark, sf_dir).select("row_id", "features")).withColumnRenamed("row_id", "vec_id")
 
 
 @query
 def plot_frame(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    return embedding_frame(pca_projection(e.select("row_id", "features")), e.select("row_id", "cluster_label")).withColumnRenamed("row_id", "vec_id")
+    return embedding_frame(rounded(pca_projection(e.select("row_id", "features"))), e.select("row_id", "cluster_label")).withColumnRenamed("row_id", "vec_id")
 
 
 STOP_WORDS = ENGLISH
