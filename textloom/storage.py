@@ -44,13 +44,22 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: later jobs read files that outlive any executor. The files go when the driver ends.
+    This cuts the lineage: later jobs read files that outlive any executor. The files go when the driver ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables from :func:`materialize` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_stored", None):
+            delete_path(t.sparkSession, path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
