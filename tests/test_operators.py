@@ -22,6 +22,7 @@ from textloom.operators.ward import cut, ward, ward_merges
 from textloom.pipeline import cluster
 from textloom.scatter import grid, save_scatter
 from textloom.spec import ClusterSpec, derived_path
+from textloom.storage import materialize, release, spread
 
 DOCS = [(0, "red apple apple pie"), (1, "red apple tart"), (2, "blue ocean wave"), (3, "blue ocean ship"), (4, None)]
 
@@ -259,3 +260,19 @@ def test_pca_of_sparse_vectors(docs):
     got = np.array([[r.x, r.y] for r in pca_projection(m.vectors).orderBy("row_id").collect()])
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_spread(spark):
+    small, large = spark.range(100).coalesce(1), spark.range(0, 100, 1, 32)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(small).rdd.getNumPartitions() == cores and spread(small).count() == 100
+    assert spread(large).rdd.getNumPartitions() == 32
+
+
+def test_release(spark):
+    t = materialize(spark.range(5))
+    assert t.count() == 5
+    release(t, None, spark.range(3))
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        spark.read.parquet(t._stored)
