@@ -7,7 +7,8 @@ rules on a document alone (word count and repeated three-word windows).
 A document is a row; rows that are equal as a whole count as one. So a page that a host serves under very many identifiers turns
 its own lines into boilerplate and is rejected with all its copies. Lines of every length take part.
 
-The texts are read once: that pass writes the counts of each row and the hashes of its lines under a row number, and all later steps read that table.
+The texts are read once: that pass writes the counts of each row and the hashes of its lines under a row number, and all later steps read that table. Only if the
+texts without their frequent lines are asked for, they are read again.
 
 Hot groups: counts are pre-aggregated in each map task, first by (host, line, document) and then by (host, line), so a host or
 line with a third of all rows costs one row per map task. The frequent lines are written before they are joined to the rows' lines, so that both sides are plain
@@ -74,29 +75,36 @@ def quality_rules(
     ``line_percent`` of the host's documents. With ``cleaned`` the column ``cleaned`` has the text without its frequent lines; columns named in ``keep`` are returned too.
     A document is depleted if fewer than ``min_left_percent`` of its words are left.
     """
-    kept = [f"_keep_{c}" for c in keep]
-    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).select(
-        *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").alias("_host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), row_key(*(f"`{c}`" for c in (id_col, host_col, text_col))).alias("_key"))
-    split = d.select("*", spark_words(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_all_lines")).withColumn("_lines", F.filter("_all_lines", has_word))
+    cols = [f"`{c}`" for c in dict.fromkeys((id_col, text_col, host_col))]
+    d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).withColumns({"_key": row_key(*cols), "_key2": F.hash(*cols)})
+    split = d.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").alias("_host"), "_key", "_key2", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    split = split.select("*", spark_words(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_all_lines")).withColumn("_lines", F.filter("_all_lines", has_word))
     hashed = F.transform("_all_lines", lambda x: F.struct(F.when(has_word(x), F.xxhash64(normal_line(x))).alias("h"), F.size(spark_words(x)).alias("w")))
     rows = split.select(
-        *kept, "_id", "_host", "_key", F.monotonically_increasing_id().alias("_row"), *(["_text"] if cleaned else []), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
+        "_id", "_host", "_key", "_key2", F.monotonically_increasing_id().alias("_row"), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"), hashed.alias("_hashed"))
     rows = materialize(rows, "quality")
 
-    each = rows.select("_row", "_host", "_key", F.explode(F.filter("_hashed", lambda x: x["h"].isNotNull())).alias("_l")).select("_row", "_host", "_key", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w"))
+    each = rows.select("_row", "_host", "_key", F.posexplode("_hashed").alias("_at", "_l")).select("_row", "_host", "_key", "_at", F.col("_l.h").alias("_line"), F.col("_l.w").alias("_w")).where(F.col("_line").isNotNull())
     seen = each.groupBy("_host", "_line", "_key").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.sum("_one").alias("_docs"))
     hosts = rows.groupBy("_host", "_key").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.sum("_one").alias("_all"))
     frequent = seen.where(F.col("_docs") >= min_line_docs).join(hosts.withColumnRenamed("_host", "_h2"), F.col("_host").eqNullSafe(F.col("_h2"))).where(F.col("_docs") * 100 >= F.col("_all") * line_percent)
     frequent = materialize(frequent.select(F.col("_host").alias("_fhost"), F.col("_line").alias("_fline")), "frequent")
 
-    gone = each.select("_row", "_host", "_line", "_w").join(frequent, (F.col("_line") == F.col("_fline")) & F.col("_host").eqNullSafe(F.col("_fhost")), "left_semi")
-    gone = gone.groupBy("_row").agg(F.sum("_w").alias("_gone"), *([F.collect_set("_line").alias("_frequent")] if cleaned else []))
+    gone = each.select("_row", "_host", "_at", "_line", "_w").join(frequent, (F.col("_line") == F.col("_fline")) & F.col("_host").eqNullSafe(F.col("_fhost")), "left_semi")
+    gone = gone.groupBy("_row").agg(F.sum("_w").alias("_gone"), *([F.collect_list("_at").alias("_frequent")] if cleaned else []))
 
     left = F.col("n_words") - F.coalesce("_gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rest = F.filter(F.split("_text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("_frequent", F.get("_hashed", i)["h"]), F.lit(False)))
-    extra = [F.when(F.col("_frequent").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n")).alias("cleaned")] if cleaned else []
-    out = rows.join(gone, "_row", "left").select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], *extra, "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), left.alias("n_words_left"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") * 100 >= F.col("n_words") * min_left_percent)).withColumnRenamed("_id", id_col)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept")
+    out = rows.drop("_hashed", "_host").join(gone, "_row", "left").withColumns({"base_failed": failed, "n_words_left": left})
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") * 100 >= F.col("n_words") * min_left_percent))
+    if not cleaned and not keep:
+        return out.select(F.col("_id").alias(id_col), *counts)
+    # equal rows have equal verdicts, which meet the texts by two digests of the row: the texts are shuffled once and written nowhere
+    out = out.dropDuplicates(["_key", "_key2"]).select("_key", "_key2", *(["_frequent"] if cleaned else []), F.struct(*counts).alias("_c"))
+    rest = F.filter(F.split("_t", "\n"), lambda _, i: ~F.array_contains("_frequent", i))
+    text = [F.when(F.col("_frequent").isNull(), F.col("_t")).otherwise(F.array_join(rest, "\n")).alias("cleaned")] if cleaned else []
+    d = d.select(*[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(f"`{id_col}`").alias("_id"), *([F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t")] if cleaned else []), "_key", "_key2")
+    return d.join(out, ["_key", "_key2"]).select(*[F.col(f"`_keep_{c}`").alias(c) for c in keep], *text, F.col("_id").alias(id_col), *[F.col(f"_c.{c}").alias(c) for c in counts])
