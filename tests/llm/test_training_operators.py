@@ -154,6 +154,12 @@ def test_token_counts(docs, none):
         tokenizing.check_byte_level(tokenizer_path("word_bpe_49k.json"))
 
 
+def test_balanced_by_bytes():
+    pieces = ["é" * 40, "a" * 50, "漢" * 10, "b" * 200, b"c" * 30]
+    groups = list(tokenizing.balanced(pieces, 100))
+    assert [x for g in groups for x in g] == pieces and [len(g) for g in groups] == [1, 2, 1, 1]
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a", "a  b", "a b ", "x <|endoftext|>y", "a b c", "it's 's  's", "\n\n a\n", "é é", "漢 字", "a\tb \tc"])
 def test_safe_pieces(text):
     tok = tokenizing.load_tokenizer(tokenizer_path("byte_bpe_50k.json"))
@@ -632,6 +638,65 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("doc_id = 3").first().text.endswith("[assign]") and docs.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def brute_pipeline(docs, items):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the rows (doc_id, text, source) that all stages keep."""
+    norm = lambda x: re.sub(SPACE, " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
+    seen, hosts = collections.defaultdict(set), collections.Counter(h for *_, h in docs)
+    for i, t, h in docs:
+        for x in (t or "").split("\n"):
+            if re.sub(SPACE, "", x):
+                seen[h, norm(x)].add(i)
+    frequent = {k for k, v in seen.items() if len(v) >= 20 and 100 * len(v) >= hosts[k[0]]}
+    kept = []
+    for i, t, h in docs:
+        words = [x for x in re.split(SPACE, t or "") if x]
+        runs, cover_ = collections.Counter(zip(words, words[1:], words[2:])), set()
+        for j in range(len(words) - 2):
+            if runs[tuple(words[j : j + 3])] > 1:
+                cover_ |= {j, j + 1, j + 2}
+        rest = "\n".join(x for x in (t or "").split("\n") if (h, norm(x)) not in frequent)
+        left = len([x for x in re.split(SPACE, rest) if x])
+        if len(words) >= 50 and 100 * len(cover_) <= 50 * len(words) and 100 * left >= 30 * len(words):
+            kept.append((i, rest))
+    kept = [(i, t) for (i, t), (*_, keep) in zip(kept, brute_groups(kept), strict=True) if keep]
+    windows = [b" " + b" ".join(w) + b" " for _, t in items for w in decontamination.windows_of(decontamination.words_of(t), 10)]
+    kept = [(i, t) for i, t in kept if not any(w in b" " + b" ".join(decontamination.words_of(t)) + b" " for w in windows)]
+    tok, out = tokenizing.load_tokenizer(tokenizer_path("word_bpe_49k.json")), []
+    for i, t in kept:
+        ids = tok.encode(secrets.redact(t, secrets.find_spans(t)), add_special_tokens=False).ids
+        out.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables here")
+    rows = lambda name, *cols: [tuple(r[c] for c in cols) for r in pq.read_table(f"{folder}/{name}.parquet").to_pylist()]
+    want = brute_pipeline(rows("documents", "doc_id", "text", "source"), rows("benchmark", "item_id", "text"))
+    assert by_row(pipeline.run(spark, folder), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expect(want) and want
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and empty texts, very long ones, null hosts, repeated rows and further columns; every stage also takes an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, body(3), None, None, None), (4, body(4), "en", "s", 1), (4, body(4), "en", "s", 1), (5, long, "en", "s", 2), (None, " \t\n", "en", "s", 3), (6, body(6) + "\n" + body(3), "en", "s", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumn("kept", F.lit(1)).withColumn("a.b", F.lit(2)).repartition(3)
+    none = spark.createDataFrame([], schema)
+    spark.createDataFrame([(1, "nothing of this item stands in any text"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs, none = stage(spark, docs, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert docs.columns == none.columns == list(pipeline.COLUMNS) and none.count() == 0
+    assert sorted(r.doc_id for r in docs.collect()) == [3, 4, 5, 6]
+    assert docs.where("doc_id = 5").first().text == long
+    last = pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == 4 and last(spark, none, str(tmp_path)).count() == 0
+
+
 def test_pipeline_rows(spark, tmp_path):
     """A rejected row takes no other row of its identifier with it, and one of equal or nearly equal rows is kept."""
     pipeline = pytest.importorskip("corpus_pipeline")

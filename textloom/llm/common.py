@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete_at_exit, delete_path, materialize, shared_dir  # noqa: F401  (for the operators here)
+from ..storage import delete_at_exit, materialize, release, shared_dir, spread  # noqa: F401  (for the operators here)
 
 #: Limits of one Arrow batch between the JVM and Python; with the second one a few very long texts make a batch of their own.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from .bloom import Bloom, filter_of
-from .common import hot_keys, join_hot, map_batches, materialize, mix, salt_of, salted
+from .common import hot_keys, join_hot, map_batches, materialize, mix, release, salt_of, salted
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
@@ -298,8 +298,9 @@ def exact_links(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray, per
 def _exact(classes: DataFrame, sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between labels, from all pairs of classes that runs lead to from one another; none is left out."""
     regions = connected(open_.select(F.col("class").alias("a"), F.col("run").alias("b")))
-    rows = sets.join(regions, sets["class"] == regions["node"], "left").select("class", F.coalesce("root", "class").alias("region"), "set")
-    rows = materialize(rows.join(classes.select("class", "label", "n"), "class"), "open")
+    rows = sets.join(regions, sets["class"] == regions["node"]).select("class", F.col("root").alias("region"), "set")  # the root is a run, or a class that has no row of its own
+    rows = rows.unionByName(sets.join(regions.select("root").distinct(), sets["class"] == F.col("root")).select("class", F.col("class").alias("region"), "set"))
+    rows = rows.join(classes.select("class", "label", "n"), "class")
     cells = _cells(rows.select("region", "class", "label", "n", "set"), "region", "n", CELL_SHINGLES).select("region", "cell", "class", "label", "part", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,21 +319,19 @@ def _exact(classes: DataFrame, sets: DataFrame, open_: DataFrame, percent: int)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """``class`` and ``set`` of the ``needed`` classes, each from one document; others are left out by a filter of fixed size before the shuffle."""
-    needed = materialize(needed.select("class").distinct().join(classes.select("class", "doc"), "class"), "needed")
-    bits = filter_of(needed.select("doc"))
+    """``class`` and ``set`` of the ``needed`` classes (and of a few more), each from one document; others are left out by a filter of fixed size before the shuffle."""
+    bits = filter_of(needed.select("class").distinct().join(classes.select("class", "doc"), "class").select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, make = Bloom(bits), Shingler(shingle)
         for b in batches:
             b = b.filter(pa.array(bloom.has(b.column(0).to_numpy()))) if len(b) else b
             sets = [make(t) for t in b.column(1).to_pylist()]
-            cls = [class_of(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "of", "set"])
+            # a set names its class itself, so documents whose digests clash do no harm
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "set"])
 
-    near = map_batches(docs.select("doc", "text"), run, "doc long, of binary, set binary")
-    # the digest of the set tells apart two rows whose digests clash; rows that repeat as a whole give the same set: one is enough
-    return materialize(near.join(needed, "doc").where("of = class").groupBy("class").agg(F.first("set").alias("set")), "shingles")
+    near = map_batches(docs.select("doc", "text"), run, "class binary, set binary").where(F.col("class").isNotNull())
+    return materialize(near.groupBy("class").agg(F.first("set").alias("set")), "shingles")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -352,7 +351,9 @@ def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     roots = salted(connected(links))  # a large group's label stands in very many rows
     out = classes.withColumn("at", salt_of("class"))
     out = out.join(roots, (out["label"] == roots["node"]) & (out["at"] == roots["salt"]), "left")
-    return materialize(out.select("class", "doc", "least", "sig", "n", "docs", F.coalesce("root", "label").alias("label")), "classes")
+    new = materialize(out.select("class", "doc", "least", "sig", "n", "docs", F.coalesce("root", "label").alias("label")), "classes")
+    release(classes, links)
+    return new
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -384,22 +385,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("m"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("docs"))
     classes = materialize(classes.select("class", "least", F.col("m.doc").alias("doc"), "sig", "n", "docs", F.col("class").alias("label")), "classes")
 
-    tried = None
+    tried, pairs = None, []
     for _ in range(BEST_ROUNDS):
         best = _best(classes, least_estimate).groupBy("row").agg(F.max(F.struct("estimate", "a", "b", "la", "lb")).alias("x")).select("x.a", "x.b", "x.la", "x.lb").distinct()
         best = materialize(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs.append(best)
         if best.isEmpty():
             break
         tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
         sets = _sets(keyed, classes, best.select(F.explode(F.array("a", "b")).alias("class")), shingle)
         links = materialize(_verify(best, sets, percent), "links")
+        release(sets)
         if links.isEmpty():
             break
         classes = _relabel(classes, links)
 
+    release(*pairs)
     open_ = materialize(_open(classes, least_estimate, percent), "runs")
     if not open_.isEmpty():
-        links = materialize(_exact(classes, _sets(keyed, classes, open_, shingle), open_, percent), "links")
+        sets = _sets(keyed, classes, open_, shingle)
+        links = materialize(_exact(classes, sets, open_, percent), "links")
+        release(sets, open_)
         if not links.isEmpty():
             classes = _relabel(classes, links)
 
