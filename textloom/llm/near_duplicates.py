@@ -13,7 +13,7 @@
 6. Groups are connected by turning parts of bounded size into stars and by alternating large-star and small-star steps between the parts.
 
 A link may be missed only by chance of the signatures: for a similarity of exactly 0.75 if no order has the prefix in common, (1 - 0.75 ** 2) ** 12 or 1 in 20000, or if
-fewer than 40 of 72 values agree, 1 in 10000; less for closer texts or those that are linked in more than one way. There is no cap on candidates or
+fewer than 36 of 72 values agree, 2 in a million; less for closer texts or those that are linked in more than one way. There is no cap on candidates or
 partners, and borders of partitions play no part in steps 4 and 5. Links that are reported are exact.
 
 Hot groups: equal sets are pre-aggregated; near copies differ in their signatures' order or tie-break, so range partitioning deals them out; joins on labels and on
@@ -39,8 +39,8 @@ from .common import hot_keys, join_hot, map_batches, materialize, mix, release,
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 12, 6, 2, 16
-#: Candidates whose signatures agree in less than this share are left out: four standard deviations below the similarity asked for.
-LEAST_ESTIMATE = 0.55
+#: Candidates whose signatures agree in less than this share are left out: five standard deviations below the similarity asked for.
+LEAST_ESTIMATE = 0.5
 MEMO_ENTRIES = 500_000
 #: Rounds of best candidates before all are taken; they only save work, what they leave is taken afterwards.
 BEST_ROUNDS = 2

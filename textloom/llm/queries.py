@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, shared_dir
+from .common import delete_at_exit, shared_dir, spread
 from .decontamination import decontaminate
 from .distinct_words import encode_decode
 from .html_text import extract_pages
@@ -33,7 +33,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one of fewer pieces than there are cores is dealt over them, a larger one isn't shuffled."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,15 +45,20 @@ def safe_pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def balanced(pieces: Iterable[str], most: int = ENCODE_BYTES) -> Iterator[list[str]]:
-    """Lists of about ``most`` characters; a longer piece has a list of its own."""
+def byte_length(piece: str | bytes) -> int:
+    return len(piece) if isinstance(piece, bytes) or piece.isascii() else len(piece.encode())
+
+
+def balanced(pieces: Iterable[str | bytes], most: int = ENCODE_BYTES) -> Iterator[list]:
+    """Lists of about ``most`` bytes of UTF-8; a longer piece has a list of its own."""
     batch, held = [], 0
     for p in pieces:
-        if batch and held + len(p) > most:
+        n = byte_length(p)
+        if batch and held + n > most:
             yield batch
             batch, held = [], 0
         batch.append(p)
-        held += len(p)
+        held += n
     if batch:
         yield batch
 
