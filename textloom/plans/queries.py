@@ -258,6 +258,12 @@ def tsne_embedding(spark, sf_dir):
     return tsne_projection(embeddings(spark, sf_dir).select("row_id", "features")).withColumnRenamed("row_id", "vec_id")
 
 
+@query
+def tsne_documents(spark, sf_dir):
+    """A named sample of the documents' TF-IDF vectors, which is how the operator takes tables of any size."""
+    return tsne_projection(matrix(spark, sf_dir).vectors, sample=1000).withColumnRenamed("row_id", "doc_id")
+
+
 @query
 def plot_frame(spark, sf_dir):
     e = embeddings(spark, sf_dir)
