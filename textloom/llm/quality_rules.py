@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, materialize, quote_columns, row_key, spark_words
+from .common import SPACE, materialize, quote_columns, row_key, spark_words
 
 #: The characters that are counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -57,12 +57,18 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.translate(line, SPACE, "") != ""
+    return F.btrim(line, F.lit(SPACE)) != ""
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, white space runs as one space: what still counts as the same boilerplate line."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACE_CLASS, " "))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, digits as 0, white space runs as one space: what still counts as the same boilerplate line; one without a word is empty."""
+    plain = F.translate(F.lower(text), "123456789" + SPACE.replace("\n", ""), "0" * 9 + " " * (len(SPACE) - 1))
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x)))
+
+
+def hashed_line(normal: Column) -> Column:
+    """The hash ``h`` of a normalised line (null if it has no word) and its number of words ``w``."""
+    return F.struct(F.when(normal != "", F.xxhash64(normal)).alias("h"), F.when(normal != "", F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).otherwise(0).alias("w"))
 
 
 def quality_rules(
@@ -78,10 +84,10 @@ def quality_rules(
     cols = [f"`{c}`" for c in dict.fromkeys((id_col, text_col, host_col))]
     d = docs.select(*quote_columns(docs, *{id_col: 0, text_col: 0, host_col: 0, **dict.fromkeys(keep, 0)})).withColumns({"_key": row_key(*cols), "_key2": F.hash(*cols)})
     split = d.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").alias("_host"), "_key", "_key2", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    split = split.select("*", spark_words(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_all_lines")).withColumn("_lines", F.filter("_all_lines", has_word))
-    hashed = F.transform("_all_lines", lambda x: F.struct(F.when(has_word(x), F.xxhash64(normal_line(x))).alias("h"), F.size(spark_words(x)).alias("w")))
+    split = split.select("*", spark_words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), has_word).alias("_lines"))
+    hashed = F.transform(normal_lines(F.col("_text")), hashed_line)
     rows = split.select(
-        "_id", "_host", "_key", "_key2", F.monotonically_increasing_id().alias("_row"), F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
+        "_id", "_host", "_key", "_key2", F.monotonically_increasing_id().alias("_row"), F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_words")).alias("n_repeat_words"), hashed.alias("_hashed"))
     rows = materialize(rows, "quality")
