@@ -99,7 +99,6 @@ def packets_of(docs: DataFrame, words: str, chunk: str, buckets: int) -> DataFra
     def send(group: pa.Table) -> pa.Table:
         k = group.column(chunk)[0].as_py()
         packets = [(b, k, w) for b, w in ChunkWords(group.column(words), buckets).packets()]
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
         return pa.table(list(zip(*packets, strict=True)) or [[], [], []], pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary())]))
 
     return docs.groupBy(chunk).applyInArrow(send, "bucket int, chunk int, words binary")
@@ -160,8 +159,6 @@ def encode_decode(
                 row = [b - a, hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
                 rows.append(row + [own[a:b].astype(np.int64).tolist(), text] * with_content)
             doc = upto
-        del chunk, got, counts, ids, starts
-        pa.default_memory_pool().release_unused()
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()][: 5 if with_content else 3]
         out = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
         return pa.table([*[group.column(c) for c in fields], *out], names=[*fields, *["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds)]])
