@@ -50,4 +50,37 @@ r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN left_over USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= 30 * n_words AS kept FROM r"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES}
+#: The unsigned crc32 of a decimal number by its bits: for each byte its exclusive or and eight shifts.
+_CRC = """CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), 4294967295) AS BIGINT)"""
+
+
+def _merkle(levels: int = 14) -> str:
+    """A level at a time: ``t`` numbers the trees (a source each, and 0 for the tree over them), a node is kept until its tree is down to one; proofs and folds walk up the same levels."""
+    leaf = lambda text: "sha256(concat(" + ", ".join(f"coalesce(concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', CAST({c} AS VARCHAR)), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    out = [
+        f"d AS MATERIALIZED (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents)",
+        f"l AS MATERIALIZED (SELECT doc_id, CAST(dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) AS BIGINT) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p, {leaf('text')} AS leaf, {leaf('other')} AS now FROM d)",
+    ]
+
+    def up(name: str, first: str) -> None:
+        out.append(f"{name}0 AS MATERIALIZED (SELECT t, p, h, count(*) OVER (PARTITION BY t) AS n FROM ({first}))")
+        for k in range(levels):
+            grown = f"SELECT t, p // 3 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {name}{k} WHERE n > 1 GROUP BY t, p // 3"
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT t, p, h, count(*) OVER (PARTITION BY t) AS n FROM ({grown}))")
+            out.append(f"{name}b{k} AS MATERIALIZED (SELECT t, p, n, coalesce((SELECT string_agg(h, '' ORDER BY p) FROM {name}{k} s WHERE s.t = x.t AND s.p // 3 = x.p // 3 AND s.p < x.p), '') AS a, coalesce((SELECT string_agg(h, '' ORDER BY p) FROM {name}{k} s WHERE s.t = x.t AND s.p // 3 = x.p // 3 AND s.p > x.p), '') AS z FROM {name}{k} x WHERE n > 1)")
+
+    up("s", "SELECT t, p, leaf AS h FROM l")
+    out.append("sub AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT t, h FROM s{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    up("r", "SELECT 0 AS t, row_number() OVER (ORDER BY t) - 1 AS p, h FROM sub")
+    out.append("top AS (" + " UNION ALL ".join(f"SELECT h FROM r{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    out.append("w0 AS (SELECT doc_id, t, p, leaf, now AS f, '' AS proof FROM l)")
+    for k in range(levels):
+        out.append(f"w{k + 1} AS (SELECT w.doc_id, w.t, w.p // 3 AS p, leaf, CASE WHEN b.n IS NULL THEN f ELSE sha256(concat(a, f, z)) END AS f, concat(proof, a, z) AS proof FROM w{k} w LEFT JOIN sb{k} b ON b.t = w.t AND b.p = w.p)")
+    out.append(f"v0 AS (SELECT doc_id, leaf, w.t, w.t - 1 AS p, f, proof FROM w{levels} w)")
+    for k in range(levels):
+        out.append(f"v{k + 1} AS (SELECT doc_id, leaf, v.t, v.p // 3 AS p, CASE WHEN b.n IS NULL THEN f ELSE sha256(concat(a, f, z)) END AS f, concat(proof, a, z) AS proof FROM v{k} v LEFT JOIN rb{k} b ON b.p = v.p)")
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = top.h AS verified FROM v{levels} v JOIN sub USING (t), top"
+
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _merkle(), "op1_decontamination": DECONTAMINATION, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES}

@@ -12,6 +12,8 @@ from .common import delete_at_exit, shared_dir, spread
 from .decontamination import decontaminate
 from .distinct_words import encode_decode
 from .html_text import extract_pages
+from .licenses import scan_licenses
+from .merkle import merkle_manifest, proof_digest
 from .near_duplicates import near_duplicates
 from .oracle import ORACLE_SQL
 from .pii import scan_pii
@@ -20,6 +22,7 @@ from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sstable import read_token_shards, write_token_shards
 from .tokenizing import token_counts
+from .whitening import whiten
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -82,10 +85,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest(docs, found={"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_extraction, op3_token_counts, op4_token_shards, op5_secret_scan,
         op6_pii_scan, op7_near_duplicates, op8_bpe_round_trip, op9_quality_rules, op10_quality_classifier,
+        op11_embedding_whitening, op12_merkle_manifest, op13_license_scan,
     )
 }
