@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stopwords import ENGLISH
 from ..operators import describe
-from ..operators.dbscan import core_points, dbscan
+from ..operators.dbscan import core_rows, dbscan
 from ..operators.kmeans import kmeans, kmeans_fixed_init
 from ..operators.labels import all_noise
 from ..operators.neighbours import neighbour_pairs
@@ -154,7 +154,7 @@ def neighbor_pairs(spark, sf_dir):
 @query
 def dbscan_core_points(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return core_points(m.vectors, neighbour_pairs(m.vectors, EPS), MIN_SAMPLES).withColumnRenamed("row_id", "doc_id")
+    return core_rows(m.vectors, EPS, MIN_SAMPLES).withColumnRenamed("row_id", "doc_id")
 
 
 @query
