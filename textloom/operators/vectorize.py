@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
-from ..functions.text import coerce_text, preprocess, tokens, without_stop_words
+from ..functions.text import coerce_text, tokens, without_stop_words
 from ..storage import materialize, spread
 
 
@@ -27,8 +27,8 @@ class EmptyVocabularyError(ValueError):
 
 
 def token_table(docs: DataFrame, text: str, row_id: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
-    """``row_id``, ``words``: tokens less stop words."""
-    return docs.select(F.col(f"`{row_id}`").alias("row_id"), without_stop_words(tokens(preprocess(coerce_text(F.col(f"`{text}`")))), stop_words).alias("words"))
+    """``row_id``, ``words``: tokens less stop words. White space at the ends of a text stands in no token, so it isn't taken off first."""
+    return docs.select(F.col(f"`{row_id}`").alias("row_id"), without_stop_words(tokens(coerce_text(F.col(f"`{text}`"))), stop_words).alias("words"))
 
 
 def term_frequency(words: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def term_frequency(words: DataFrame) -> DataFrame:
 
 def word_statistics(words: DataFrame) -> DataFrame:
     """``term``, ``cf`` (all occurrences) and ``df`` (documents); both are combined in each map task, so what is shuffled is one row for each term and task."""
-    each = F.concat(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
-    return words.select(F.explode(each).alias("x")).select("x.*").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    every = words.select(F.explode("words").alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))
+    once = words.select(F.explode(F.array_distinct("words")).alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
+    return every.unionByName(once).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def vocabulary(stats: DataFrame, max_features: int) -> DataFrame:

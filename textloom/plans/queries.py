@@ -228,8 +228,7 @@ def kmeans_fixed_centres(spark, sf_dir):
 
 @query
 def ward_labels(spark, sf_dir):
-    """Exact where the table is within the exact algorithm's bound, its named approximation beyond."""
-    return ward(matrix(spark, sf_dir).vectors, approximate=True).withColumnRenamed("row_id", "doc_id")
+    return ward(matrix(spark, sf_dir).vectors).withColumnRenamed("row_id", "doc_id")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
