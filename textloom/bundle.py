@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import describe
+from .operators.kmeans import KMeansModel, predict
 from .operators.labels import canonical
 from .operators.vectorize import VectorizerModel, token_table
 from .pipeline import ClusteringResult
@@ -49,7 +49,7 @@ def _centres(result: ClusteringResult) -> DataFrame:
     """``cluster_label``, ``pos``, ``value``: means of the members' vectors; for k-means they are its centres once it has converged."""
     spark = result.rows.sparkSession
     if isinstance(result.model, KMeansModel):
-        vectors = result.model.transform(result.matrix.vectors).select("row_id", F.col("prediction").alias("label"))
+        vectors = predict(result.model, result.matrix.vectors)
         pairs = canonical(vectors).join(vectors, "row_id").select("cluster_label", "label").distinct().collect()  # one row for each cluster
         found = result.model.clusterCenters()
         return spark.createDataFrame([(r.cluster_label, i, float(v)) for r in pairs for i, v in enumerate(found[r.label])], "cluster_label int, pos int, value double")

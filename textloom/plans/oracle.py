@@ -54,6 +54,47 @@ def _lloyd(k: int, iterations: int) -> str:
     return "WITH " + ",\n".join(out) + f"\nSELECT vec_id, lab AS cluster_label FROM a{iterations}"
 
 
+def _kmeans(k: int = 5, restarts: int = 3, seed: int = 42, steps: int = 40, tol: float = 1e-4) -> str:
+    """Seeds by the same races over the documents' weights, chained iterations of all restarts until a restart has settled, and the cheapest one's labels, numbered by their least rows."""
+    from ..operators.kmeans import BY_RESTART, BY_ROW, BY_STEP, PRIME, SHIFT
+
+    out = [
+        WEIGHTS,
+        f"runs AS (SELECT unnest(range({restarts})) AS r)",
+        "len AS MATERIALIZED (SELECT d.doc_id, coalesce(sum(unit * unit), 0) AS xx FROM documents d LEFT JOIN x USING (doc_id) GROUP BY 1)",
+    ]
+    base = lambda s: f"((doc_id % {PRIME}) * {BY_ROW} + CAST({BY_STEP * (s + 1) + seed} AS BIGINT) + {BY_RESTART} * (r + 1)) % {PRIME}"
+    for s in range(k):
+        if s:
+            dots = f"SELECT p.doc_id, q.r, sum(p.unit * q.unit) AS dot FROM x p JOIN sv{s - 1} q USING (term) GROUP BY 1, 2"
+            seen = f"SELECT l.doc_id, q.r, greatest(0, l.xx + q.xx - 2 * coalesce(dot, 0)) AS d FROM len l JOIN (SELECT r, xx FROM s{s - 1} JOIN len USING (doc_id)) q ON true LEFT JOIN ({dots}) USING (doc_id, r)"
+            far = f"SELECT doc_id, r, d FROM ({seen})" if s == 1 else f"SELECT doc_id, r, least(n.d, o.d) AS d FROM ({seen}) n JOIN far{s - 1} o USING (doc_id, r)"
+        else:
+            far = "SELECT doc_id, r, 1.0 AS d FROM len, runs"
+        out.append(f"far{s} AS MATERIALIZED ({far})")
+        race = f"SELECT doc_id, r, -ln((((a * a % {PRIME}) * a + {SHIFT}) % {PRIME} + 1.0) / ({PRIME} + 1.0)) / round(d, 9) AS t FROM (SELECT doc_id, r, d, {base(s)} AS a FROM far{s} WHERE round(d, 9) > 0)"
+        out.append(f"s{s} AS MATERIALIZED (SELECT r, arg_min(doc_id, (t, doc_id)) AS doc_id FROM ({race}) GROUP BY r)")
+        out.append(f"sv{s} AS MATERIALIZED (SELECT r, term, unit FROM s{s} JOIN x USING (doc_id))")
+    out.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT r, {s} AS lab, term, unit AS c FROM sv{s}" for s in range(k)) + ")")
+    out.append("ids AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT r, {s} AS lab FROM s{s}" for s in range(k)) + ")")
+    out.append("f0 AS (SELECT r, false AS done FROM runs)")
+    for i in range(steps + 1):
+        out.append(f"n{i} AS MATERIALIZED (SELECT ids.r, ids.lab, coalesce(sum(c * c), 0) AS cc FROM ids LEFT JOIN c{i} USING (r, lab) GROUP BY 1, 2)")
+        out.append(f"d{i} AS (SELECT doc_id, r, lab, sum(unit * c) AS dot FROM x JOIN c{i} USING (term) GROUP BY 1, 2, 3)")
+        out.append(f"e{i} AS MATERIALIZED (SELECT doc_id, r, lab, round(greatest(0, xx + cc - 2 * coalesce(dot, 0)), 9) AS d FROM len JOIN n{i} ON true LEFT JOIN d{i} USING (doc_id, r, lab))")
+        out.append(f"a{i} AS MATERIALIZED (SELECT doc_id, r, arg_min(lab, (d, lab)) AS lab, min(d) AS d FROM e{i} GROUP BY 1, 2)")
+        if i < steps:
+            size = f"(SELECT r, lab, count(*) AS n FROM a{i} GROUP BY 1, 2)"
+            new = f"SELECT r, lab, term, sum(unit) / any_value(n) AS c FROM x JOIN a{i} USING (doc_id) JOIN {size} USING (r, lab) JOIN f{i} USING (r) WHERE NOT done GROUP BY 1, 2, 3"
+            stay = f"SELECT r, lab, term, c FROM c{i} JOIN f{i} USING (r) LEFT JOIN {size} USING (r, lab) WHERE done OR n IS NULL"
+            out.append(f"c{i + 1} AS MATERIALIZED ({new} UNION ALL {stay})")
+            shift = f"SELECT r, lab, sqrt(sum((coalesce(p.c, 0) - coalesce(q.c, 0)) * (coalesce(p.c, 0) - coalesce(q.c, 0)))) AS s FROM c{i} p FULL JOIN c{i + 1} q USING (r, lab, term) GROUP BY 1, 2"
+            out.append(f"f{i + 1} AS MATERIALIZED (SELECT r, f{i}.done OR coalesce(max(s), 0) <= {tol} AS done FROM f{i} LEFT JOIN ({shift}) USING (r) GROUP BY r, f{i}.done)")
+    out.append(f"best AS (SELECT arg_min(r, (c, r)) AS r FROM (SELECT r, round(sum(d), 6) AS c FROM a{steps} GROUP BY r))")
+    out.append(f"won AS MATERIALIZED (SELECT doc_id, lab FROM a{steps} JOIN best USING (r))")
+    return "WITH " + ",\n".join(out) + "\nSELECT doc_id, CAST(dense_rank() OVER (ORDER BY least) - 1 AS INTEGER) AS cluster_label FROM won JOIN (SELECT lab, min(doc_id) AS least FROM won GROUP BY 1) USING (lab)"
+
+
 def _pca(steps: int = 12) -> str:
     """Two principal components of ``embeddings`` from repeated squares of the covariance: the power 2 ** ``steps`` leaves the first one, and what remains of the covariance gives the second."""
     out = [
@@ -110,6 +151,7 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_names": _K + "SELECT cluster_label, cluster_name FROM names",
     "clustered_with_names": _K + "SELECT doc_id, cluster_label, coalesce(cluster_name, '') AS cluster_name FROM labels LEFT JOIN names USING (cluster_label)",
     "rename_clusters": _K + "SELECT cluster_label, CASE WHEN cluster_label = 0 THEN 'first cluster' ELSE cluster_name END AS cluster_name FROM names",
+    "kmeans_labels": _kmeans(),
     "kmeans_fixed_centres": _lloyd(5, 3),
     "pca_embedding": _pca() + "SELECT vec_id, x, y FROM xy",
     "plot_frame": _pca() + "SELECT vec_id, x, y, label FROM xy JOIN embeddings USING (vec_id)",
