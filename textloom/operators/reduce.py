@@ -2,28 +2,109 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TSNE_MOST_ROWS = 5000
 
 
+def _entries(vectors: DataFrame) -> DataFrame:
+    """``row_id``, ``t``, ``w``: the entries of sparse or dense vectors."""
+    v = F.unwrap_udt("features")
+    return vectors.select("row_id", F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)).alias("t"), v["values"].alias("w"))
+
+
+def _dense_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some rows at a time as a dense matrix over the columns that they have, and these columns."""
+    lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    terms, weights = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    ends, step = np.cumsum(lengths), 500
+    for low in range(0, len(lengths), step):
+        size = lengths[low : low + step]
+        here = slice(ends[low] - lengths[low], ends[low] - lengths[low] + size.sum())
+        columns, at = np.unique(terms[here], return_inverse=True)
+        dense = np.zeros((len(size), len(columns)))
+        dense[np.repeat(np.arange(len(size)), size), at] = weights[here]
+        yield dense, columns
+
+
+def _covariance_times(rows: DataFrame, block: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
+    """The rows' covariance times a block of directions, in one pass: tasks add up, and Spark sums as many numbers as the block has."""
+    off = mean @ block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rest = np.zeros(block.shape), np.zeros(block.shape[1])
+        for b in batches:
+            for dense, columns in _dense_rows(b):
+                z = dense @ block[columns] - off  # the centred rows' products
+                total[columns] += dense.T @ z
+                rest += z.sum(0)
+        total -= np.outer(mean, rest)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "value"])
+
+    out = np.zeros(block.size)
+    for r in rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    return out.reshape(block.shape) / n
+
+
+def principal_axes(vectors: DataFrame, k: int = 2, more: int = 10, seed: int = 7, tolerance: float = 1e-13, most_passes: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mean, the ``k`` largest variances and their axes (columns, largest loading positive), without a matrix of all terms by all terms.
+
+    Randomised block Krylov iteration (Musco and Musco 2015): ``k + more`` random directions and what passes over the sparse rows make of them span a space, orthonormalised on the driver; its
+    best axes are taken once their residuals are ``tolerance`` of the largest variance, or once it is the whole space. The driver holds ``k + more`` numbers for each term and pass. Directions beyond
+    the rank get no variance and axes that complete the space.
+    """
+    rows = _entries(vectors)
+    n, width = rows.agg(F.count("*"), F.max(F.greatest(F.array_max("t") + 1, F.lit(k)))).first()
+    if not n:
+        return np.zeros(k), np.zeros(k), np.eye(k)
+    width = max(width, k)
+    mean = np.zeros(width)
+    for r in rows.select(F.explode(F.arrays_zip("t", "w")).alias("x")).groupBy("x.t").agg(F.sum("x.w").alias("w")).collect():
+        mean[r.t] = r.w / n
+    rng, size = np.random.default_rng(seed), min(width, k + more)
+    basis, image = np.empty((width, 0)), np.empty((width, 0))
+    new = np.linalg.qr(rng.normal(size=(width, size)))[0]
+    for _ in range(most_passes):
+        moved = _covariance_times(rows, new, mean, n)
+        basis, image = np.hstack([basis, new]), np.hstack([image, moved])
+        inner = basis.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+        residual = np.linalg.norm(image @ turn - basis @ turn * values, axis=0)
+        if basis.shape[1] >= width or residual.max() <= tolerance * max(values[0], np.finfo(float).tiny):
+            break
+        for _ in range(2):
+            moved = moved - basis @ (basis.T @ moved)
+        u, s, _ = np.linalg.svd(moved, full_matrices=False)
+        new = u[:, s > 1e-13 * max(values[0], np.finfo(float).tiny)][:, : width - basis.shape[1]]
+        if not new.shape[1]:
+            break  # the space is closed: random directions of all kinds have led to nothing more
+        for _ in range(2):
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+    else:
+        raise RuntimeError(f"no convergence after {most_passes} passes")
+    axes = basis @ turn
+    return mean, np.maximum(values, 0), axes * np.where(axes[np.abs(axes).argmax(0), np.arange(k)] >= 0, 1.0, -1.0)
+
+
 def pca_projection(vectors: DataFrame) -> DataFrame:
-    """``row_id``, ``x``, ``y``: centred principal components, the largest loading of each positive.
+    """``row_id``, ``x``, ``y``: centred principal components, the largest loading of each positive. Vectors stay sparse."""
+    mean, _, axes = principal_axes(vectors)
+    off = mean @ axes
 
-    The model centres its covariance itself; the projection of the mean is taken off afterwards, so that sparse vectors are never made dense.
-    """
-    model = PCA(k=2, inputCol="features", outputCol="p").fit(vectors)
-    loads = model.pc.toArray()
-    mean = vectors.select(Summarizer.mean(F.col("features"))).first()[0].toArray() @ loads
-    sign = [1.0 if loads[np.abs(loads[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    p = vector_to_array("p")
-    return model.transform(vectors).select("row_id", *(((p[j] - float(mean[j])) * sign[j]).alias(c) for j, c in enumerate(("x", "y"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xy = np.vstack([dense @ axes[columns] - off for dense, columns in _dense_rows(b)] or [np.empty((0, 2))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["row_id", "x", "y"])
+
+    return _entries(vectors).mapInArrow(run, "row_id long, x double, y double")
 
 
 def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: int = 300) -> tuple[np.ndarray, list[float]]:

@@ -117,6 +117,28 @@ def _pca(steps: int = 12) -> str:
     return "WITH " + ",\n".join(out) + "\n"
 
 
+def _pca_documents(steps: int = 50) -> str:
+    """Two principal components of the documents' weights: two directions are multiplied by the covariance again and again and made orthogonal, and turned to their axes at the end."""
+    out = [
+        WEIGHTS,
+        "m AS MATERIALIZED (SELECT term, sum(unit) / (SELECT count(*) FROM documents) AS m FROM x GROUP BY 1)",
+        "b0 AS (SELECT term, cos(term_idx) AS p, sin(2 * term_idx + 1) AS q FROM vocab)",
+    ]
+    for i in range(steps + 1):
+        off = f"(SELECT sum(m * p) AS mp, sum(m * q) AS mq FROM m JOIN b{i} USING (term))"
+        dots = f"SELECT doc_id, sum(unit * p) AS p, sum(unit * q) AS q FROM x JOIN b{i} USING (term) GROUP BY 1"
+        out.append(f"z{i} AS MATERIALIZED (SELECT doc_id, coalesce(p, 0) - mp AS p, coalesce(q, 0) - mq AS q FROM documents LEFT JOIN ({dots}) USING (doc_id), {off})")
+        if i < steps:
+            out.append(f"w{i} AS MATERIALIZED (SELECT term, sum(unit * p) - any_value(m) * (SELECT sum(p) FROM z{i}) AS p, sum(unit * q) - any_value(m) * (SELECT sum(q) FROM z{i}) AS q FROM x JOIN z{i} USING (doc_id) JOIN m USING (term) GROUP BY 1)")
+            out.append(f"g{i} AS MATERIALIZED (SELECT term, p / pn AS p, q - pq / (pn * pn) * p AS q FROM w{i}, (SELECT sqrt(sum(p * p)) AS pn, sum(p * q) AS pq FROM w{i}))")
+            out.append(f"b{i + 1} AS MATERIALIZED (SELECT term, p, q / (SELECT sqrt(sum(q * q)) FROM g{i}) AS q FROM g{i})")
+    last = f"b{steps}"
+    out.append(f"turn AS (SELECT atan2(2 * sum(p * q), sum(p * p) - sum(q * q)) / 2 AS a FROM z{steps})")
+    out.append(f"e AS MATERIALIZED (SELECT term, cos(a) * p + sin(a) * q AS x, cos(a) * q - sin(a) * p AS y FROM {last}, turn)")
+    out.append("s AS (SELECT sign(arg_max(x, abs(x))) AS sx, sign(arg_max(y, abs(y))) AS sy FROM e)")
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, round(sx * (cos(a) * p + sin(a) * q), 6) AS x, round(sy * (cos(a) * q - sin(a) * p), 6) AS y FROM z{steps}, turn, s"
+
+
 _L = f"WITH RECURSIVE {LABELS}\n"
 _K = f"WITH RECURSIVE {KEYWORDS}\n"
 
@@ -153,6 +175,7 @@ ORACLE_SQL: dict[str, str] = {
     "rename_clusters": _K + "SELECT cluster_label, CASE WHEN cluster_label = 0 THEN 'first cluster' ELSE cluster_name END AS cluster_name FROM names",
     "kmeans_labels": _kmeans(),
     "kmeans_fixed_centres": _lloyd(5, 3),
+    "pca_documents": _pca_documents(),
     "pca_embedding": _pca() + "SELECT vec_id, x, y FROM xy",
     "plot_frame": _pca() + "SELECT vec_id, x, y, label FROM xy JOIN embeddings USING (vec_id)",
 }

@@ -249,7 +249,7 @@ def pca_embedding(spark, sf_dir):
 @query
 def pca_documents(spark, sf_dir):
     """The documents' TF-IDF vectors."""
-    return pca_projection(matrix(spark, sf_dir).vectors).withColumnRenamed("row_id", "doc_id")
+    return rounded(pca_projection(matrix(spark, sf_dir).vectors)).withColumnRenamed("row_id", "doc_id")
 
 
 @query
