@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -36,11 +37,16 @@ HEX_START = re.compile("30|6f70656e7373682d6b65792d763100", re.I)
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the DER items that fill ``data`` exactly, or None if a length doesn't fit."""
+#: No sequence of a key has more items, and no public key more fields, so that looking at a place takes a bounded number of steps.
+MOST_ITEMS = 16
+
+
+def der_items(data: bytes | memoryview) -> list[tuple[int, memoryview]] | None:
+    """(tag, content) of the DER items that fill ``data`` exactly, or None if a length doesn't fit or they are more than a key has; nothing is copied."""
+    data = memoryview(data)
     out, i, n = [], 0, len(data)
     while i < n:
-        if i + 2 > n:
+        if i + 2 > n or len(out) == MOST_ITEMS:
             return None
         tag, size, i = data[i], data[i + 1], i + 2
         if size & 0x80:
@@ -57,17 +63,17 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_rsa(items: list[tuple[int, bytes]]) -> bool:
+def is_rsa(items: list[tuple[int, memoryview]]) -> bool:
     """PKCS #1: version, modulus, exponents, primes."""
     return len(items) >= 9 and {t for t, _ in items[:9]} == {0x02} and items[0][1] in (b"\0", b"\1") and all(v for _, v in items[:9])
 
 
-def is_ec(items: list[tuple[int, bytes]]) -> bool:
+def is_ec(items: list[tuple[int, memoryview]]) -> bool:
     """SEC 1: version, number, parameters and public key."""
     return [t for t, _ in items[:2]] == [0x02, 0x04] and items[0][1] == b"\1" and len(items[1][1]) >= 16 and all(t in (0xA0, 0xA1) and der_items(v) for t, v in items[2:])
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | memoryview) -> bool:
     """A private key in DER: PKCS #1, PKCS #8 (also encrypted) or SEC 1, with every nested length right, those of the key inside PKCS #8 as well."""
     if len(data) < 24 or data[0] != 0x30:
         return False
@@ -88,10 +94,13 @@ def is_der_key(data: bytes) -> bool:
     return is_rsa(inner) or is_ec(inner)
 
 
-def fields(data: bytes) -> list[bytes] | None:
-    """Length-prefixed fields that fill ``data``, or None."""
+def fields(data: bytes | memoryview) -> list[memoryview] | None:
+    """Length-prefixed fields that fill ``data``, or None, also if they are more than a public key has."""
+    data = memoryview(data)
     out, i = [], 0
     while i < len(data):
+        if len(out) == MOST_ITEMS:
+            return None
         n = int.from_bytes(data[i : i + 4], "big")
         if i + 4 + n > len(data):
             return None
@@ -107,9 +116,9 @@ def ssh_key_size(data: bytes, start: int = 0) -> int:
     """Bytes of the OpenSSH private key that begins at ``start``, or 0: its magic, cipher, derivation and options, public keys whose own fields fit, and the private part."""
     if not data.startswith(SSH_MAGIC, start):
         return 0
-    at = start + len(SSH_MAGIC)
+    at, data = start + len(SSH_MAGIC), memoryview(data)
 
-    def field() -> bytes:
+    def field() -> memoryview:
         nonlocal at
         begin, at = at + 4, at + 4 + int.from_bytes(data[at : at + 4], "big")
         if at > len(data):
@@ -206,10 +215,12 @@ def keys_in_base64(run: str) -> Iterator[tuple[int, int, str]]:
         if m[0] == "M":
             head = decode64(run[i : i + 12])
             size = der_size(head) if head and len(head) >= 8 else 0
-            chars = -(-size * 4 // 3)
-            if size < 24 or i + chars > len(run) or not (data := decode64(run[i : i + chars])) or not is_der_key(data):
+            if size < 24:
+                continue
+            data, start = bytes_at(i)
+            if start + size > len(data) or not is_der_key(memoryview(data)[start : start + size]):
                 continue
-            kind = "der_key"
+            chars, kind = -(-size * 4 // 3), "der_key"
         elif m[0].startswith("b3"):
             size = ssh_key_size(*bytes_at(i))
             if not size:
@@ -240,7 +251,8 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
                 out.append((m.start(), m.end(), "pem_key"))
                 armoured.append((m.start(), m.end()))
     for m in BASE64.finditer(text):
-        if any(s <= m.start() < e for s, e in armoured):
+        k = bisect.bisect_right(armoured, (m.start(), len(text))) - 1
+        if k >= 0 and m.start() < armoured[k][1]:
             continue
         for s, e, kind in keys_in_base64(m[0].rstrip("=")):
             e += m.start()
@@ -248,14 +260,17 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start() + s, e + (pad if e + pad == m.end() else 0), kind))
     for m in LONG_HEX.finditer(text):
         at, run = 0, m[0]
-        halves = [bytes.fromhex(run[a : len(run) - (len(run) - a) % 2]) for a in (0, 1)] if "6f70656e" in run.lower() else []
-        hex_at = lambda i, halves=halves: (halves[i % 2], i // 2)
-        for k in HEX_START.finditer(m[0]):
+        halves = [bytes.fromhex(run[a : len(run) - (len(run) - a) % 2]) for a in (0, 1)]  # decoded once for each alignment
+        for k in HEX_START.finditer(run):
             i = k.start()
             if i < at:
                 continue
-            size = der_size(bytes.fromhex(m[0][i : i + 16])) if k[0] == "30" and i + 16 <= len(m[0]) else 0 if k[0] == "30" else ssh_key_size(*hex_at(i))
-            if size < 24 or i + 2 * size > len(m[0]) or k[0] == "30" and not is_der_key(bytes.fromhex(m[0][i : i + 2 * size])):
+            data, start = halves[i % 2], i // 2
+            if k[0] == "30":
+                size = der_size(data[start : start + 8]) if i + 16 <= len(run) else 0
+                if size < 24 or start + size > len(data) or not is_der_key(memoryview(data)[start : start + size]):
+                    continue
+            elif not (size := ssh_key_size(data, start)):
                 continue
             at = i + 2 * size
             out.append((m.start() + i, m.start() + at, "hex_key"))
@@ -292,7 +307,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, counts of the base kinds, ``base_sha256``, ``spans`` (all, as kind:start:end) and ``redacted``; and the columns named in ``keep``.
 
     One pass without shuffle, in Arrow batches of bounded bytes. Scanning is linear in the text: candidates are maximal runs, each
-    decoded once. Null and empty texts have no spans (redacted stays null or empty); repeated rows each get a row; further
+    decoded once for each alignment, and a place in a run that looks like a header costs a bounded number of steps. Null and empty texts have no spans (redacted stays null or empty); repeated rows each get a row; further
     columns are ignored.
     """
 
