@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", "--n_clusters", type=int, default=5)
     p.add_argument("--eps", type=float, default=0.5)
     p.add_argument("--min_samples", type=int, default=5)
-    p.add_argument("--max_features", type=int, default=2000)
+    p.add_argument("--max_features", type=lambda v: None if v.lower() == "none" else int(v), default=2000, help="terms of the vocabulary, or none for all")
     p.add_argument("-o", "--output", help="default: the input with _clustered")
     p.add_argument("-v", "--visualize", action="store_true", help="write the projected points and draw them")
     p.add_argument("--vis_method", choices=PROJECTIONS, default="pca")

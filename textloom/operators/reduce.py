@@ -10,13 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TSNE_MOST_ROWS = 5000
-
+from .entries import entries
 
-def _entries(vectors: DataFrame) -> DataFrame:
-    """``row_id``, ``t``, ``w``: the entries of sparse or dense vectors."""
-    v = F.unwrap_udt("features")
-    return vectors.select("row_id", F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)).alias("t"), v["values"].alias("w"))
+TSNE_MOST_ROWS = 5000
 
 
 def _dense_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,7 +56,7 @@ def principal_axes(vectors: DataFrame, k: int = 2, more: int = 10, seed: int = 7
     best axes are taken once their residuals are ``tolerance`` of the largest variance, or once it is the whole space. The driver holds ``k + more`` numbers for each term and pass. Directions beyond
     the rank get no variance and axes that complete the space.
     """
-    rows = _entries(vectors)
+    rows = entries(vectors)
     n, width = rows.agg(F.count("*"), F.max(F.greatest(F.array_max("t") + 1, F.lit(k)))).first()
     if not n:
         return np.zeros(k), np.zeros(k), np.eye(k)
@@ -104,7 +100,7 @@ def pca_projection(vectors: DataFrame) -> DataFrame:
             xy = np.vstack([dense @ axes[columns] - off for dense, columns in _dense_rows(b)] or [np.empty((0, 2))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["row_id", "x", "y"])
 
-    return _entries(vectors).mapInArrow(run, "row_id long, x double, y double")
+    return entries(vectors).mapInArrow(run, "row_id long, x double, y double")
 
 
 def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: int = 300) -> tuple[np.ndarray, list[float]]:

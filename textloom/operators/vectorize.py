@@ -2,7 +2,8 @@
 
 Vocabulary: the ``max_features`` terms of highest corpus frequency, ties by term; indices in alphabetical order.
 Weight: tf * (ln((1 + n) / (1 + df)) + 1), with n all documents, blank ones included; rows have length 1.
-Only the vocabulary (at most ``max_features`` rows) ever reaches the driver.
+Only the vocabulary (at most ``max_features`` rows) ever reaches the driver. Without a limit (``max_features=None``) not even that does: terms are numbered over
+ranges, the vocabulary stays a table, and weights come from joins with it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from ..functions.stopwords import ENGLISH
 from ..functions.text import coerce_text, tokens, without_stop_words
 from ..storage import materialize, spread
+from .labels import numbered
+
+
+EMPTY = "empty vocabulary: the texts have no term besides stop words and single characters"
 
 
 class EmptyVocabularyError(ValueError):
@@ -64,6 +69,10 @@ class VectorizerModel:
     n_docs: int
     stop_words: tuple[str, ...] = ENGLISH
 
+    @property
+    def n_terms(self) -> int:
+        return len(self.terms)
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(t, i, c, d, w) for i, (t, c, d, w) in enumerate(zip(self.terms, self.cf, self.df, self.idf, strict=True))]
         return spark.createDataFrame(rows, "term string, term_idx int, cf long, df long, idf double")
@@ -88,19 +97,55 @@ class VectorizerModel:
         return self._scaled(words).select("row_id", "features")
 
 
+@dataclass(frozen=True)
+class TableModel:
+    """A fitted vocabulary without a limit, as a table (term, term_idx, cf, df, idf) in the shared folder."""
+
+    vocabulary: DataFrame
+    n_terms: int
+    n_docs: int
+    stop_words: tuple[str, ...] = ENGLISH
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return self.vocabulary
+
+    def _weighted(self, words: DataFrame) -> DataFrame:
+        """``row_id``, ``e``: a row's terms in index order with tf and weight, and ``norm``. Terms meet the vocabulary by a join, whose frequent keys Spark splits."""
+        tf = term_frequency(words).join(self.vocabulary.select("term", "term_idx", "idf"), "term")
+        cells = F.sort_array(F.collect_list(F.struct("term_idx", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight")))).alias("e")
+        rows = tf.groupBy("row_id").agg(cells)
+        return rows.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])))
+
+    def long_form(self, words: DataFrame) -> DataFrame:
+        """As :meth:`VectorizerModel.long_form`."""
+        rows = self._weighted(words).select("row_id", "norm", F.explode("e").alias("x"))
+        return rows.select("row_id", "x.term", "x.term_idx", "x.tf", "x.weight", (F.col("x.weight") / F.col("norm")).alias("unit"))
+
+    def vectors(self, words: DataFrame) -> DataFrame:
+        """``row_id``, ``t``, ``w``: places and values of unit vectors, both empty for rows without a term."""
+        rows = self._weighted(words).select(F.col("row_id").alias("_row"), F.col("e.term_idx").alias("t"), F.transform("e", lambda x: x["weight"] / F.col("norm")).alias("w"))
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        return words.select("row_id").join(rows, F.col("row_id") == F.col("_row"), "left").select("row_id", F.coalesce("t", none("int")).alias("t"), F.coalesce("w", none("double")).alias("w"))
+
+
 @dataclass(frozen=True)
 class TextVectorizer:
-    """Fits a :class:`VectorizerModel`."""
+    """Fits a :class:`VectorizerModel`, or a :class:`TableModel` if ``max_features`` is None."""
 
-    max_features: int = 2000
+    max_features: int | None = 2000
     stop_words: tuple[str, ...] = ENGLISH
 
-    def fit(self, words: DataFrame) -> VectorizerModel:
+    def fit(self, words: DataFrame) -> VectorizerModel | TableModel:
         """From the words of all documents (row_id, words), as :func:`token_table` gives them."""
         n = words.count()
+        if self.max_features is None:
+            terms = materialize(idf(numbered(word_statistics(words), "term", "term_idx"), n).select("term", "term_idx", "cf", "df", "idf"), "vocabulary")
+            if n_terms := terms.count():
+                return TableModel(terms, n_terms, n, self.stop_words)
+            raise EmptyVocabularyError(EMPTY)
         rows = vocabulary(word_statistics(words), self.max_features).transform(lambda v: idf(v, n)).orderBy("term_idx").collect()
         if not rows:
-            raise EmptyVocabularyError("empty vocabulary: the texts have no term besides stop words and single characters")
+            raise EmptyVocabularyError(EMPTY)
         return VectorizerModel(tuple(r.term for r in rows), tuple(r.idf for r in rows), tuple(r.cf for r in rows), tuple(r.df for r in rows), n, self.stop_words)
 
 
@@ -108,11 +153,11 @@ class TextVectorizer:
 class Matrix:
     """The fitted model with its documents' words, kept for the stages that read them again."""
 
-    model: VectorizerModel
+    model: VectorizerModel | TableModel
     words: DataFrame
 
     @classmethod
-    def of(cls, docs: DataFrame, text: str, row_id: str, max_features: int = 2000, stop_words: tuple[str, ...] = ENGLISH) -> Matrix:
+    def of(cls, docs: DataFrame, text: str, row_id: str, max_features: int | None = 2000, stop_words: tuple[str, ...] = ENGLISH) -> Matrix:
         words = materialize(token_table(spread(docs), text, row_id, stop_words), "words")  # texts are read and cut once
         return cls(TextVectorizer(max_features, stop_words).fit(words), words)
 
@@ -125,7 +170,7 @@ class Matrix:
         return self.model.vectors(self.words).persist(StorageLevel.MEMORY_AND_DISK)
 
     def shape(self) -> tuple[int, int]:
-        return self.model.n_docs, len(self.model.terms)
+        return self.model.n_docs, self.model.n_terms
 
     def unpersist(self) -> None:
         if "vectors" in self.__dict__:

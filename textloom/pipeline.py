@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.stopwords import ENGLISH
 from .functions.text import is_blank
 from .operators import describe
-from .operators.dbscan import dbscan
+from .operators.dbscan import fit_dbscan
 from .operators.kmeans import kmeans
 from .operators.labels import all_noise, with_labels
 from .operators.reduce import embedding_frame, project
@@ -84,7 +84,7 @@ def cluster(df: DataFrame, spec: ClusterSpec) -> ClusteringResult:
     if spec.algorithm == "kmeans":
         model, labels = kmeans(matrix.vectors, spec.n_clusters, spec.seed, spec.restarts)
     elif spec.algorithm == "dbscan":
-        labels = dbscan(matrix.vectors, spec.eps, spec.min_samples)
+        model, labels = fit_dbscan(matrix.vectors, spec.eps, spec.min_samples)
     else:
         labels = ward(matrix.vectors, spec.n_clusters, spec.seed, spec.approximate)
     labels = materialize(labels, "labels")

@@ -139,6 +139,11 @@ def _pca_documents(steps: int = 50) -> str:
     return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, round(sx * (cos(a) * p + sin(a) * q), 6) AS x, round(sy * (cos(a) * q - sin(a) * p), 6) AS y FROM z{steps}, turn, s"
 
 
+def _without_limit(sql: str) -> str:
+    """The same over all terms."""
+    return sql.replace(f" LIMIT {V})", ")")
+
+
 _L = f"WITH RECURSIVE {LABELS}\n"
 _K = f"WITH RECURSIVE {KEYWORDS}\n"
 
@@ -158,6 +163,9 @@ ORACLE_SQL: dict[str, str] = {
     "inverse_document_frequency": f"WITH {TERMS} SELECT term, round(idf, 9) AS idf FROM vocab",
     "tfidf": f"WITH {WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight FROM w",
     "tfidf_normalized": f"WITH {WEIGHTS} SELECT doc_id, term, round(unit, 6) AS weight FROM x",
+    "tfidf_all_terms": _without_limit(f"WITH {WEIGHTS} SELECT doc_id, term, round(unit, 6) AS weight FROM x"),
+    "dbscan_labels_all_terms": _without_limit(_L + "SELECT doc_id, cluster_label FROM labels"),
+    "cluster_keywords_all_terms": _without_limit(_K + "SELECT cluster_label, rank, term, round(score, 6) AS score FROM kw"),
     "feature_names": f"WITH {TERMS} SELECT term_idx, term FROM vocab",
     "matrix_shape": f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM vocab) AS n_features",
     "neighbor_pairs": f"WITH {PAIRS} SELECT a, b FROM pairs",

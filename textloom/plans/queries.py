@@ -44,17 +44,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spread(documents(spark, sf_dir)), "text", "doc_id")
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> Matrix:
-    return Matrix.of(documents(spark, sf_dir), "text", "doc_id", V)
+def matrix(spark: SparkSession, sf_dir: str, max_features: int | None = V) -> Matrix:
+    return Matrix.of(documents(spark, sf_dir), "text", "doc_id", max_features)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> tuple[Matrix, DataFrame]:
-    m = matrix(spark, sf_dir)
+def labelled(spark: SparkSession, sf_dir: str, max_features: int | None = V) -> tuple[Matrix, DataFrame]:
+    m = matrix(spark, sf_dir, max_features)
     return m, materialize(dbscan(m.vectors, EPS, MIN_SAMPLES), "labels")
 
 
-def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, labels = labelled(spark, sf_dir)
+def keywords(spark: SparkSession, sf_dir: str, max_features: int | None = V) -> DataFrame:
+    m, labels = labelled(spark, sf_dir, max_features)
     return describe.cluster_keywords(describe.cluster_term_means(m.long, labels), m.model.table(spark), labels, TOP_N)
 
 
@@ -134,6 +134,22 @@ def tfidf_normalized(spark, sf_dir):
     return matrix(spark, sf_dir).long.select(F.col("row_id").alias("doc_id"), "term", F.round("unit", 6).alias("weight"))
 
 
+@query
+def tfidf_all_terms(spark, sf_dir):
+    """Weights over a vocabulary without a limit."""
+    return matrix(spark, sf_dir, None).long.select(F.col("row_id").alias("doc_id"), "term", F.round("unit", 6).alias("weight"))
+
+
+@query
+def dbscan_labels_all_terms(spark, sf_dir):
+    return labelled(spark, sf_dir, None)[1].withColumnRenamed("row_id", "doc_id")
+
+
+@query
+def cluster_keywords_all_terms(spark, sf_dir):
+    return keywords(spark, sf_dir, None).select("cluster_label", "rank", "term", F.round("score", 6).alias("score"))
+
+
 @query
 def feature_names(spark, sf_dir):
     return matrix(spark, sf_dir).model.table(spark).select("term_idx", "term")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .sources.xlsx import local_path
 
-#: The picture in pixels (8 by 6 inches), its margins and the side of a grid cell. At most ``MOST_NAMED`` labels are named in the legend; all are drawn.
-WIDTH, HEIGHT, MARGIN, CELL, MOST_NAMED = 800, 600, 50, 2, 40
+#: The picture in pixels (8 by 6 inches), its margins and the side of a grid cell; a line and a column of the legend, which has as many columns as its labels need.
+WIDTH, HEIGHT, MARGIN, CELL, LINE, COLUMN = 800, 600, 50, 2, 12, 60
 
 
 def colours(labels: list[int]) -> dict[int, str]:
@@ -39,10 +39,13 @@ def save_scatter(points: DataFrame, path: str, title: str) -> None:
     """Draw a point for each cell, coloured by label, with a title and a legend."""
     cells = [tuple(r) for r in grid(points).orderBy("px", "py").toLocalIterator()]  # no more than the picture has cells
     hue = colours(list({v for *_, v in cells}))
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{WIDTH}" height="{HEIGHT}" viewBox="0 0 {WIDTH} {HEIGHT}"><rect width="100%" height="100%" fill="white"/>'
+    lines = (HEIGHT - 2 * MARGIN) // LINE
+    width = WIDTH + COLUMN * ((len(hue) - 1) // lines if hue else 0)
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{HEIGHT}" viewBox="0 0 {width} {HEIGHT}"><rect width="100%" height="100%" fill="white"/>'
     out = [head, f'<text x="{WIDTH // 2}" y="30" text-anchor="middle" font-size="16">{escape(title)}</text>']
     out += [f'<circle cx="{MARGIN + x * CELL}" cy="{HEIGHT - MARGIN - y * CELL}" r="3" fill="{hue[v]}"/>' for x, y, v in cells]
-    for i, v in enumerate(sorted(hue)[:MOST_NAMED]):
-        out.append(f'<rect x="{WIDTH - MARGIN + 4}" y="{MARGIN + 12 * i}" width="8" height="8" fill="{hue[v]}"/><text x="{WIDTH - MARGIN + 15}" y="{MARGIN + 8 + 12 * i}" font-size="10">{v}</text>')
+    for i, v in enumerate(sorted(hue)):
+        x, y = WIDTH - MARGIN + 4 + COLUMN * (i // lines), MARGIN + LINE * (i % lines)
+        out.append(f'<rect x="{x}" y="{y}" width="8" height="8" fill="{hue[v]}"/><text x="{x + 11}" y="{y + 8}" font-size="10">{v}</text>')
     with open(local_path(path), "w", encoding="utf-8") as f:
         f.write("\n".join([*out, "</svg>"]))

@@ -19,7 +19,7 @@ class ClusterSpec:
     n_clusters: int = 5
     eps: float = 0.5
     min_samples: int = 5
-    max_features: int = 2000
+    max_features: int | None = 2000
     top_n: int = 10
     name_top_n: int = 3
     name_joiner: str = ", "
@@ -37,7 +37,7 @@ class ClusterSpec:
         if self.visualize is not None and self.visualize not in PROJECTIONS:
             raise ValueError(f"no projection is called {self.visualize!r}: there are {', '.join(PROJECTIONS)}")
         for name, least in (("n_clusters", 1), ("min_samples", 1), ("max_features", 1), ("top_n", 0), ("name_top_n", 0), ("restarts", 1)):
-            if getattr(self, name) < least:
+            if getattr(self, name) is not None and getattr(self, name) < least:
                 raise ValueError(f"{name} must be at least {least}")
         if not self.eps > 0:
             raise ValueError("eps must be above 0")

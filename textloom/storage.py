@@ -37,6 +37,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, none if there is no such folder."""
+    jvm, p = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_empty(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, in one step; False if there is one already."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_forget, spark, path)
 
