@@ -1,6 +1,8 @@
 """``spark.read.format("xlsx")`` and ``df.write.format("xlsx")``, with the standard library alone.
 
-Reading: option ``sheet`` takes a name or an index from 0 (a sheet that is named like the number wins); without it, the first sheet.
+Reading: a path is a workbook or a folder of workbooks on any file system that Arrow reads (local, HDFS, S3, GCS); a workbook is opened in place, so that its directory and the parts that
+are needed are all that is fetched. Option ``sheet`` takes a name or an index from 0 (a sheet that is named like the number wins), or ``*`` for all sheets; without it, the first sheet. Each sheet is a
+partition, and its stream is read once, row by row. Sheets with different columns are put together by name; a column that one of them lacks is null there.
 The first row names the columns: blank headers become ``Unnamed: i``, repeated ones get ``.1``, ``.2``. A column is boolean, timestamp_ntz, long or double if
 all its cells are; a numeric column with blanks is double; anything else is string. ``keepNaStrings=true`` keeps texts such as NA.
 
@@ -11,7 +13,9 @@ with ``_writable_`` and the time, unless ``lockedFallback=false``.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import json
 import os
 import re
 import uuid
@@ -21,6 +25,8 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -44,11 +50,38 @@ def local_path(path: str) -> str:
     return path
 
 
-def _open(path: str) -> zipfile.ZipFile:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
     path = local_path(path)
-    if not os.path.isfile(path):
+    return fs.FileSystem.from_uri(path) if re.match("[A-Za-z][A-Za-z0-9+.-]+://", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+@contextlib.contextmanager
+def _open(path: str) -> Iterator[zipfile.ZipFile]:
+    """The workbook, read in place: Arrow's files can be sought, so only what is asked for is fetched."""
+    system, at = file_system(path)
+    if system.get_file_info(at).type != fs.FileType.File:
         raise FileNotFoundError(f"there is no file {path}")
-    return zipfile.ZipFile(path)
+    with system.open_input_file(at) as f, zipfile.ZipFile(f) as book:
+        yield book
+
+
+def workbooks(path: str) -> list[str]:
+    """The path itself, or the workbooks of a folder in the order of their names; none is an error."""
+    system, at = file_system(path)
+    kind = system.get_file_info(at).type
+    if kind == fs.FileType.File:
+        return [path]
+    found = [i.base_name for i in system.get_file_info(fs.FileSelector(at)) if i.is_file and i.base_name.lower().endswith(".xlsx") and not i.base_name.startswith(("~", ".", "_"))] if kind == fs.FileType.Directory else []
+    if not found:
+        raise FileNotFoundError(f"there is no file {path}" if kind == fs.FileType.NotFound else f"there is no workbook in {path}")
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(found)]
+
+
+def sheet_parts(path: str, sheet: str | None) -> list[str]:
+    """The parts of a workbook that an option ``sheet`` means."""
+    with _open(path) as book:
+        return [part for _, part in sheet_entries(book)] if sheet == "*" else [pick_sheet(book, sheet)]
 
 
 def sheet_entries(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -163,10 +196,13 @@ def _body(rows: Iterator[list], keep_na: bool) -> Iterator[list]:
             yield r
 
 
-def sheet_schema(path: str, sheet: str | None, keep_na: bool = False) -> StructType:
+LONG, DOUBLE = LongType(), DoubleType()
+
+
+def part_schema(path: str, part: str, keep_na: bool = False) -> StructType:
     """The columns of a sheet, from one pass that keeps the kinds of cells it has seen, and no rows."""
     with _open(path) as book:
-        rows = sheet_rows(book, pick_sheet(book, sheet))
+        rows = sheet_rows(book, part)
         header = next(rows, [])
         width, n, seen, filled = len(header), 0, {}, {}
         for r in _body(rows, keep_na):
@@ -180,19 +216,42 @@ def sheet_schema(path: str, sheet: str | None, keep_na: bool = False) -> StructT
     kinds = []
     for j in range(width):
         k, gap = seen.get(j, set()), filled.get(j, 0) < n
-        kinds.append(BooleanType() if k == {bool} else TimestampNTZType() if k == {dt.datetime} else LongType() if k == {int} and not gap else DoubleType() if k and k <= {int, float} else StringType())
+        kinds.append(BooleanType() if k == {bool} else TimestampNTZType() if k == {dt.datetime} else LONG if k == {int} and not gap else DOUBLE if k and k <= {int, float} else StringType())
     return StructType([StructField(c, k) for c, k in zip(names, kinds, strict=True)])
 
 
-def sheet_tuples(path: str, sheet: str | None, keep_na: bool, schema: StructType) -> Iterator[tuple]:
-    """The rows of a sheet one by one, by the columns' kinds."""
-    convert = [float if isinstance(f.dataType, DoubleType) else (lambda v: v if isinstance(v, str) else _text(v)) if isinstance(f.dataType, StringType) else (lambda v: v) for f in schema]
+def merged_schema(schemas: list[StructType]) -> StructType:
+    """All columns by name, in the order in which they first come; kinds that differ are text, numbers apart, and a whole number that is missing somewhere is a double as in a column with blanks."""
+    kinds: dict[str, list] = {}
+    for s in schemas:
+        for f in s:
+            kinds.setdefault(f.name, []).append(f.dataType)
+    out = []
+    for name, k in kinds.items():
+        if all(x == k[0] for x in k):
+            out.append(StructField(name, DOUBLE if k[0] == LONG and len(k) < len(schemas) else k[0]))
+        else:
+            out.append(StructField(name, DOUBLE if all(x in (LONG, DOUBLE) for x in k) else StringType()))
+    return StructType(out)
+
+
+def sheet_schema(path: str, sheet: str | None, keep_na: bool = False) -> StructType:
+    """The columns of all sheets that ``path`` and ``sheet`` mean."""
+    return merged_schema([part_schema(p, part, keep_na) for p in workbooks(path) for part in sheet_parts(p, sheet)])
+
+
+def part_tuples(path: str, part: str, keep_na: bool, schema: StructType) -> Iterator[tuple]:
+    """The rows of a sheet one by one, by the names and kinds of ``schema``; one pass."""
+    as_kind = {DoubleType: float, StringType: lambda v: v if isinstance(v, str) else _text(v)}
+    convert = [as_kind.get(type(f.dataType), lambda v: v) for f in schema]
     with _open(path) as book:
-        rows = sheet_rows(book, pick_sheet(book, sheet))
-        next(rows, None)
+        rows = sheet_rows(book, part)
+        header = next(rows, [])
+        names = header_names(header + [None] * len(schema))  # columns without a header are named by their places
+        at = [names.index(n) if n in names else -1 for n in schema.names]
         for r in _body(rows, keep_na):
-            r += [None] * (len(convert) - len(r))
-            yield tuple(None if v is None else f(v) for v, f in zip(r, convert, strict=False))
+            cells = [r[i] if 0 <= i < len(r) else None for i in at]
+            yield tuple(None if v is None else f(v) for v, f in zip(cells, convert, strict=True))
 
 
 def _text(v) -> str:
@@ -202,7 +261,7 @@ def _text(v) -> str:
 
 
 class XlsxDataSource(DataSource):
-    """A sheet of a workbook, row by row; the format needs one reader, since a sheet is one compressed stream."""
+    """Sheets of workbooks, row by row; a sheet is one compressed stream, so it has one reader."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,19 +280,22 @@ class XlsxDataSource(DataSource):
         return _Writer(local_path(self.options["path"]), schema, overwrite, self.options.get("sheet", "Sheet1"), self.options.get("lockedfallback", self.options.get("lockedFallback", "true")).lower() == "true", self.options.get("truncate", "false").lower() == "true")
 
 
+@dataclass
+class _Sheet(InputPartition):
+    path: str
+    part: str
+
+
 class _Reader(DataSourceReader):
     def __init__(self, args, schema: StructType):
         self.args, self.wanted = args, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        path, sheet, _ = self.args
+        return [_Sheet(p, part) for p in workbooks(path) for part in sheet_parts(p, sheet)]
 
-    def read(self, partition) -> Iterator[tuple]:
-        schema = sheet_schema(*self.args)
-        at = [schema.names.index(n) for n in self.wanted.names]
-        text = [isinstance(f.dataType, StringType) for f in self.wanted]
-        for r in sheet_tuples(*self.args, schema):
-            yield tuple(None if r[i] is None else _text(r[i]) if t and not isinstance(r[i], str) else r[i] for i, t in zip(at, text, strict=True))
+    def read(self, partition: _Sheet) -> Iterator[tuple]:
+        yield from part_tuples(partition.path, partition.part, self.args[2], self.wanted)
 
 
 @dataclass
@@ -336,15 +398,27 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxDataSource)
 
 
+def _schemas_in_tasks(spark: SparkSession, books: list[str], sheet: str | None) -> StructType:
+    """The columns of many workbooks, each looked through by a task of its own; what comes back are schemas."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(at, k, part_schema(path, part).json()) for at, path in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, part in enumerate(sheet_parts(path, sheet))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)], ["book", "sheet", "schema"])
+
+    rows = spark.createDataFrame(list(enumerate(books)), "book int, path string").repartition(len(books), "book").mapInArrow(run, "book int, sheet int, schema string")
+    return merged_schema([StructType.fromJson(json.loads(r["schema"])) for r in rows.orderBy("book", "sheet").collect()])
+
+
 def load_excel(spark: SparkSession, path: str, sheet: str | int | None = None, schema: StructType | None = None) -> DataFrame:
-    """A sheet as a DataFrame; a missing file or sheet is an error at once."""
+    """The sheets of a workbook or of a folder's workbooks as a DataFrame; a missing path or sheet is an error at once."""
     register(spark)
-    local = local_path(path)
-    if not os.path.isfile(local):
-        raise FileNotFoundError(f"there is no file {path}")
+    books, sheet = workbooks(path), None if sheet is None else str(sheet)
+    if schema is None and len(books) > 1:
+        schema = _schemas_in_tasks(spark, books, sheet)
     reader = spark.read.format("xlsx")
-    reader = reader.option("sheet", str(sheet)) if sheet is not None else reader
-    return (reader.schema(schema) if schema else reader).load(local)
+    reader = reader.option("sheet", sheet) if sheet is not None else reader
+    return (reader.schema(schema) if schema else reader).load(local_path(path))
 
 
 def save_excel(df: DataFrame, path: str, sheet: str = "Sheet1", truncate: bool = False) -> None:
@@ -364,7 +438,8 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 def load_report(df: DataFrame, path: str) -> DataFrame:
     """``n_rows``, ``n_columns``, ``size_kb`` of the file and ``columns``: what a load tells."""
-    return table_profile(df).select("n_rows", "n_columns", F.lit(round(os.path.getsize(local_path(path)) / 1024, 1)).alias("size_kb"), F.lit(", ".join(df.columns)).alias("columns"))
+    size = sum(system.get_file_info(at).size for system, at in map(file_system, workbooks(path)))
+    return table_profile(df).select("n_rows", "n_columns", F.lit(round(size / 1024, 1)).alias("size_kb"), F.lit(", ".join(df.columns)).alias("columns"))
 
 
 def column_list(df: DataFrame) -> DataFrame:
