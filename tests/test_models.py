@@ -7,7 +7,7 @@ from pyspark.ml.linalg import Vectors
 from textloom import bundle as B
 from textloom.operators import kmeans as K
 from textloom.operators.dbscan import fit_dbscan
-from textloom.operators.reduce import pca_projection, principal_axes
+from textloom.operators.reduce import near_weights, pca_projection, principal_axes, tsne_projection
 from textloom.operators.vectorize import EmptyVocabularyError, Matrix
 from textloom.pipeline import cluster
 from textloom.scatter import save_scatter
@@ -145,3 +145,21 @@ def test_legend_names_all_labels(spark, tmp_path):
     save_scatter(points, str(tmp_path / "p.svg"), "many")
     text = (tmp_path / "p.svg").read_text()
     assert all(f'font-size="10">{i}</text>' in text for i in range(300))
+
+
+def test_tsne_places_all_rows(spark):
+    """Rows that are no landmarks stand among those of their own group; copies of a landmark stand by it."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, (60, 4)) for c in (0, 4, 9)])
+    rows = tsne_projection(frame(spark, x), perplexity=8.0, landmarks=45, iterations=150).orderBy("row_id").collect()
+    y = np.array([(r.x, r.y) for r in rows])
+    assert [r.row_id for r in rows] == list(range(180)) and np.isfinite(y).all()
+    centre = np.array([y[i : i + 60].mean(0) for i in (0, 60, 120)])
+    assert (((y[:, None] - centre) ** 2).sum(2).argmin(1) == np.repeat(np.arange(3), 60)).all()
+    assert tsne_projection(frame(spark, x[:40]), perplexity=8.0, iterations=60).count() == 40
+    for bad in ({"perplexity": 180.0}, {"perplexity": 30.0, "landmarks": 20}):
+        with pytest.raises(ValueError):
+            tsne_projection(frame(spark, x), **bad)
+    w = near_weights(rng.random((20, 50)), 5.0)
+    assert np.allclose(w.sum(1), 1) and np.allclose(np.exp(-(w * np.log(np.maximum(w, 1e-300))).sum(1)), 5.0, rtol=1e-3)
+    assert np.isfinite(near_weights(np.zeros((3, 4)), 5.0)).all() and np.isfinite(near_weights(np.ones((2, 1)), 5.0)).all()

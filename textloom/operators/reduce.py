@@ -1,4 +1,4 @@
-"""Projection to two dimensions: PCA over all rows, exact t-SNE over a bounded number of rows."""
+"""Projection to two dimensions: PCA, and t-SNE by landmarks; both place all rows."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .entries import entries
 
-TSNE_MOST_ROWS = 5000
+#: Rows that exact t-SNE works on, and the perplexity by which the others are placed among them.
+TSNE_LANDMARKS, PLACED = 2000, 5.0
 
 
 def _dense_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,29 +141,79 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: in
     return y, costs
 
 
-def tsne_projection(vectors: DataFrame, perplexity: float = 30.0, seed: int = 42, iterations: int = 300, sample: int | None = None) -> DataFrame:
-    """``row_id``, ``x``, ``y``. More than ``TSNE_MOST_ROWS`` rows are an error unless ``sample`` says how many, by the hash of the row, are to be shown."""
+def near_weights(d: np.ndarray, perplexity: float) -> np.ndarray:
+    """For each row of squared distances weights that sum to 1, Gaussian, with the precision that gives them this perplexity (or all there is)."""
+    aim = np.log(min(perplexity, max(1.0, d.shape[1] - 1e-9)))
+    d = d - d.min(1, keepdims=True)
+    lo, hi, beta = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    for _ in range(60):
+        p = np.exp(-d * beta[:, None])
+        total = p.sum(1)
+        high = np.log(total) + beta * (d * p).sum(1) / total > aim
+        lo, hi = np.where(high, beta, lo), np.where(high, hi, beta)
+        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    p = np.exp(-d * np.minimum(beta, 1e12)[:, None])
+    return p / p.sum(1, keepdims=True)
+
+
+def tsne_projection(vectors: DataFrame, perplexity: float = 30.0, seed: int = 42, iterations: int = 300, landmarks: int = TSNE_LANDMARKS) -> DataFrame:
+    """``row_id``, ``x``, ``y`` of every row: exact t-SNE of ``landmarks`` rows (all, if there are no more), by the hash of the row, and the others among them.
+
+    Any other row stands at the mean of the landmarks, weighted by nearness in the vectors' space with a perplexity of ``PLACED``. One task works on the landmarks, whose number is a parameter; the
+    rest is one pass in which each task holds its rows against them.
+    """
     n = vectors.count()
-    if sample is not None and sample < n:
-        vectors, n = vectors.orderBy(F.xxhash64("row_id"), "row_id").limit(sample), sample
-    if n > TSNE_MOST_ROWS:
-        raise ValueError(f"t-SNE takes up to {TSNE_MOST_ROWS} rows, there are {n}; name a sample")
     if not perplexity < n:
         raise ValueError(f"perplexity {perplexity} must be below the number of rows, {n}")
+    if not perplexity < landmarks:
+        raise ValueError(f"perplexity {perplexity} must be below the number of landmarks, {landmarks}")
+    rows = entries(vectors)
+    chosen = materialize(rows.orderBy(F.xxhash64("row_id"), "row_id").limit(landmarks), "landmarks")
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("row_id").to_numpy(), kind="stable")
-        y, _ = tsne(np.array(group.column("v").to_pylist(), float)[order], perplexity, seed, iterations)
-        return pa.table({"row_id": group.column("row_id").to_numpy()[order], "x": y[:, 0], "y": y[:, 1]})
+        t = group.sort_by("row_id").combine_chunks()
+        y, _ = tsne(_dense_all(t), perplexity, seed, iterations)
+        return pa.table({"row_id": t.column("row_id"), "x": y[:, 0], "y": y[:, 1]})
+
+    at = materialize(chosen.groupBy(F.lit(0).alias("_g")).applyInArrow(run, "row_id long, x double, y double"), "places")
+    if n <= landmarks:
+        return at
+    known = chosen.join(at, "row_id").orderBy("row_id").toArrow().combine_chunks()  # no more rows than landmarks
+    ids, places = known.column("row_id").to_numpy(), np.stack([known.column("x").to_numpy(), known.column("y").to_numpy()], 1)
+    width = 1 + max(pc.max(known.column("t").combine_chunks().flatten()).as_py() or 0, 0)
+    marks = _dense_all(known, width)
+    square = (marks * marks).sum(1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for dense, columns in _dense_rows(b):
+                shared = columns < width
+                d = (dense * dense).sum(1)[:, None] + square - 2 * (dense[:, shared] @ marks[:, columns[shared]].T)
+                found.append(near_weights(np.maximum(0, d), PLACED) @ places)
+            xy = np.vstack(found or [np.empty((0, 2))])
+            here = b.column(0).to_numpy()
+            own = np.minimum(np.searchsorted(ids, here), len(ids) - 1)
+            xy = np.where((ids[own] == here)[:, None], places[own], xy)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["row_id", "x", "y"])
+
+    return rows.mapInArrow(place, "row_id long, x double, y double")
+
 
-    return vectors.select("row_id", vector_to_array("features").alias("v")).groupBy(F.lit(0).alias("_g")).applyInArrow(run, "row_id long, x double, y double")
+def _dense_all(t: pa.Table, width: int | None = None) -> np.ndarray:
+    """All rows of a table of entries as one matrix."""
+    lists = t.column("t").combine_chunks()
+    terms, weights = lists.flatten().to_numpy(zero_copy_only=False), t.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(t), width or int(terms.max(initial=0)) + 1))
+    out[np.repeat(np.arange(len(t)), lists.value_lengths().to_numpy(zero_copy_only=False)), terms] = weights
+    return out
 
 
-def project(vectors: DataFrame, method: str = "pca", perplexity: float = 30.0, seed: int = 42, sample: int | None = None) -> DataFrame:
+def project(vectors: DataFrame, method: str = "pca", perplexity: float = 30.0, seed: int = 42, landmarks: int = TSNE_LANDMARKS) -> DataFrame:
     if method == "pca":
         return pca_projection(vectors)
     if method == "tsne":
-        return tsne_projection(vectors, perplexity, seed, sample=sample)
+        return tsne_projection(vectors, perplexity, seed, landmarks=landmarks)
     raise ValueError(f"no projection is called {method!r}: there are pca and tsne")
 
 

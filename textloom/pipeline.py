@@ -14,7 +14,7 @@ from .operators import describe
 from .operators.dbscan import fit_dbscan
 from .operators.kmeans import kmeans
 from .operators.labels import all_noise, with_labels
-from .operators.reduce import embedding_frame, project
+from .operators.reduce import TSNE_LANDMARKS, embedding_frame, project
 from .operators.vectorize import Matrix
 from .operators.ward import ward
 from .sources.xlsx import require_column
@@ -45,10 +45,10 @@ class ClusteringResult:
         names = describe.apply_names(self.names, edits)
         return replace(self, names=names, rows=describe.with_names(self.rows, names))
 
-    def embedding(self, method: str | None = None, sample: int | None = None) -> DataFrame:
+    def embedding(self, method: str | None = None, landmarks: int = TSNE_LANDMARKS) -> DataFrame:
         if self.matrix is None:
             raise ValueError("there are no vectors to project")
-        return embedding_frame(project(self.matrix.vectors, method or self.spec.visualize or "pca", self.spec.perplexity, self.spec.seed, sample), self.labels)
+        return embedding_frame(project(self.matrix.vectors, method or self.spec.visualize or "pca", self.spec.perplexity, self.spec.seed, landmarks), self.labels)
 
     def output(self, include_names: bool = True) -> DataFrame:
         out = self.rows if include_names else self.rows.drop("cluster_name")

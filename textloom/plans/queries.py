@@ -275,8 +275,8 @@ def tsne_embedding(spark, sf_dir):
 
 @query
 def tsne_documents(spark, sf_dir):
-    """A named sample of the documents' TF-IDF vectors, which is how the operator takes tables of any size."""
-    return tsne_projection(matrix(spark, sf_dir).vectors, sample=1000).withColumnRenamed("row_id", "doc_id")
+    """All documents' TF-IDF vectors."""
+    return tsne_projection(matrix(spark, sf_dir).vectors, landmarks=1000).withColumnRenamed("row_id", "doc_id")
 
 
 @query
