@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 #: Edges that one task turns into stars at once, about 100 MB, and rows of a batch of results.
 EDGES_PER_PART, BATCH_ROWS = 2_000_000, 10_000
@@ -55,7 +55,7 @@ def _contract(edges: DataFrame, parts: int) -> DataFrame:
             part = moved[i : i + BATCH_ROWS]
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(part)), nodes.take(pa.array(root[part]))], ["u", "v"])
 
-    return edges.select("u", "v").coalesce(parts).mapInArrow(run, edges.select("u", "v").schema)
+    return edges.select("u", "v").repartition(parts).mapInArrow(run, edges.select("u", "v").schema)
 
 
 def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
@@ -64,7 +64,8 @@ def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
     state = None
     while True:
         parts = max(1, -(-e.count() // per_part))
-        e = materialize(_contract(e, parts), "edges")
+        before, e = e, materialize(_contract(e, parts), "edges")
+        release(before)
         if parts == 1:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large star: neighbours above a node are joined to its least neighbour
@@ -74,7 +75,8 @@ def connected(edges: DataFrame, per_part: int = EDGES_PER_PART) -> DataFrame:
         # small star: a node and its neighbours below are joined to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, e = e, materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        release(before)
         before, state = state, tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if state == before:  # a digest of all edges has stayed the same
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
