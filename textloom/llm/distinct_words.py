@@ -12,8 +12,9 @@ The table and the join are packed so that what is shuffled stays near the size o
 4. a chunk puts the ids back at the positions of its words, joins them to pieces, and joins the pieces of each document.
 
 There are as many chunks as the bytes of the texts ask for, and as many buckets as the number of distinct words asks for: packets grow as their product, so in
-proportion to the texts as far as the vocabulary stays the same. Each chunk and each bucket is a partition of its own. A task holds one chunk, or the distinct
-words of one bucket and one packet.
+proportion to the texts as far as the vocabulary stays the same. Partitions are as many as the session's shuffle setting says at most: a chunk or a bucket is a partition of its own up to there, and beyond
+a partition has several, one after another. A task holds one chunk, or the distinct words of one bucket and one packet. Rows that are equal as a whole go to one chunk for each partition that the
+table is read in, so a chunk is never larger than such a partition and ``CHUNK_BYTES`` together.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, quote_columns, row_key, spark_words
-from .tokenizing import load_tokenizer, word_encoder
+from .tokenizing import check_no_decoder, load_tokenizer, word_encoder
 
 #: Bytes of text in a chunk, about (a longer text is a chunk's larger part), distinct words in a bucket, about, and words that are put together at once.
 CHUNK_BYTES, BUCKET_WORDS, SLICE_WORDS = 32 << 20, 1 << 18, 1 << 18
 
 
+#: Columns of our own, by names that a caller's table won't have.
+CHUNK, WORDS = "__chunk_of_words", "__words_of_text"
+
+
 @cache
 def pieces(path: str) -> pa.Array:
     """The id-to-piece relation of a tokenizer, in id order; its size is that of the vocabulary."""
@@ -93,6 +98,11 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)
 
 
+def dealt(df: DataFrame, key: str, n: int, partitions: int) -> DataFrame:
+    """``df`` by its number ``key`` (below ``n``): a partition for each if there are no more than ``partitions``, else several in one."""
+    return df.repartitionById(n, F.col(key)) if n <= partitions else df.repartition(partitions, key)
+
+
 def packets_of(docs: DataFrame, words: str, chunk: str, buckets: int) -> DataFrame:
     """The packets (``bucket``, ``chunk``, ``words``) of documents that are partitioned by ``chunk``."""
 
@@ -105,40 +115,44 @@ def packets_of(docs: DataFrame, words: str, chunk: str, buckets: int) -> DataFra
 
 
 def encode_decode(
-    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_words: int = BUCKET_WORDS, with_content: bool = False, keep: tuple[str, ...] = ()
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_words: int = BUCKET_WORDS, with_content: bool = False, keep: tuple[str, ...] = (), partitions: int | None = None
 ) -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text; with ``with_content`` also ``ids`` and ``decoded``.
 
     Ids are those of the tokenizers library without added special tokens; decoding joins the pieces of all ids by spaces, as the library does for
-    a tokenizer without decoder. ``keep`` names columns to carry along. The numbers of chunks and buckets come from the bytes of the table and an
-    estimate of its distinct words; both only lay out the work.
+    a tokenizer without decoder; one with a decoder is refused. ``keep`` names columns to carry along. The numbers of chunks and buckets come from the bytes of the table and an
+    estimate of its distinct words, that of ``partitions`` from the session's shuffle setting unless it is given; all only lay out the work.
 
     A null or empty text has no ids and decodes to an empty text; repeated rows each get a row; an empty table gives an
     empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    check_no_decoder(tokenizer_path)
     tok = load_tokenizer(tokenizer_path)
+    most = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
     d = docs.select(*quote_columns(docs, *cols))
     text = F.col(f"`{text_col}`")
     n = max(1, -(-(d.agg(F.sum(F.octet_length(text))).first()[0] or 0) // chunk_bytes))
     buckets = max(1, -(-d.select(F.explode(spark_words(text)).alias("w")).agg(F.approx_count_distinct("w", 0.05)).first()[0] // bucket_words)) if n > 1 else 1
-    d = d.withColumn("_chunk", F.pmod(F.hash(row_key(*[F.col(f"`{c}`") for c in cols]), F.spark_partition_id()), F.lit(n)).cast("int")).repartitionById(n, F.col("_chunk"))
+    d = dealt(d.withColumn(CHUNK, F.pmod(F.hash(row_key(*[F.col(f"`{c}`") for c in cols]), F.spark_partition_id()), F.lit(n)).cast("int")), CHUNK, n, most)
     fields = [c for c in cols if c != text_col or c in keep]
-    d = d.select(*[F.col(f"`{c}`") for c in fields], "_chunk", spark_words(text).alias("_words"))
+    d = d.select(*[F.col(f"`{c}`") for c in fields], CHUNK, spark_words(text).alias(WORDS))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = word_encoder(tokenizer_path), {}  # of one bucket, since each is a partition
+        encoder, table, bucket = word_encoder(tokenizer_path), {}, -1
         for b in batches:
-            for i in range(len(b)):
+            for i, own in enumerate(b.column(0).to_pylist()):
+                if own != bucket:  # buckets come one after another
+                    table, bucket = {}, own
                 words = words_in(b.column(2)[i].as_py())
                 table |= encoder.encode_words(set(words).difference(table))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(0).slice(i, 1), pa.array([pack_ids([table[w] for w in words], width)], pa.binary())], ["_chunk", "bucket", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(0).slice(i, 1), pa.array([pack_ids([table[w] for w in words], width)], pa.binary())], [CHUNK, "bucket", "ids"])
 
     def assemble(group: pa.Table, packets: pa.Table) -> pa.Table:
-        chunk = ChunkWords(group.column("_words"), buckets)
+        chunk = ChunkWords(group.column(WORDS), buckets)
         got = [unpack_ids(x, width) for _, x in sorted(zip(packets.column("bucket").to_pylist(), packets.column("ids").to_pylist(), strict=True))]
         counts, ids = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         if len(counts) != len(chunk.words):
@@ -165,6 +179,7 @@ def encode_decode(
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<long>, decoded string"] * with_content])
     # both groupings take the same columns, so that Spark shuffles the texts once and reuses that exchange
-    sent = packets_of(d, "_words", "_chunk", buckets).repartitionById(buckets, F.col("bucket"))
-    back = map_batches(sent, encode, "_chunk int, bucket int, ids binary").repartitionById(n, F.col("_chunk"))
-    return d.groupBy("_chunk").cogroup(back.groupBy("_chunk")).applyInArrow(assemble, schema)
+    sent = dealt(packets_of(d, WORDS, CHUNK, buckets), "bucket", buckets, most)
+    sent = sent if buckets <= most else sent.sortWithinPartitions("bucket")
+    back = dealt(map_batches(sent, encode, f"{CHUNK} int, bucket int, ids binary"), CHUNK, n, most)
+    return d.groupBy(CHUNK).cogroup(back.groupBy(CHUNK)).applyInArrow(assemble, schema)

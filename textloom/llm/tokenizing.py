@@ -133,6 +133,16 @@ def check_word_level(path: str) -> None:
         raise ValueError(f"{path}: an added token has white space")
 
 
+@cache
+def check_no_decoder(path: str) -> None:
+    """Refuse a tokenizer whose library doesn't decode by joining pieces with spaces."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        if json.load(f).get("decoder"):
+            raise ValueError(f"{path}: a tokenizer with a decoder of its own can't be decoded piece by piece")
+
+
 class WordEncoder:
     """Encodes texts word by word, where words are runs between ASCII white space.
 
