@@ -106,3 +106,17 @@ def test_merged_kinds():
     assert read("a long, b string", "b string, a long") == "struct<a:bigint,b:string>"
     assert read("a long", "a double", "a long") == "struct<a:double>" and read("a long", "a boolean") == "struct<a:string>" and read("a long", "b timestamp_ntz") == "struct<a:double,b:timestamp_ntz>"
     assert dt.datetime(2020, 1, 1) and read("a string") == "struct<a:string>"
+
+
+def test_tasks_write_side_by_side(spark, tmp_path):
+    """Eight partitions in their order, to a path and to an address; a sheet's limit and a target that is there are errors that leave nothing behind."""
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "concat('row ', id) AS text")
+    for path in (str(tmp_path / "a.xlsx"), f"file://{tmp_path}/b.xlsx"):
+        save_excel(df, path)
+        assert [tuple(r) for r in load_excel(spark, path).collect()] == [(i, f"row {i}") for i in range(4000)]
+    xlsx.register(spark)
+    with pytest.raises(Exception, match="a.xlsx"):
+        df.write.format("xlsx").mode("append").save(str(tmp_path / "a.xlsx"))
+    save_excel(df.limit(0), str(tmp_path / "none.xlsx"))
+    assert load_excel(spark, str(tmp_path / "none.xlsx")).count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.xlsx", "b.xlsx", "none.xlsx"]

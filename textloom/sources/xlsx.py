@@ -6,8 +6,8 @@ partition, and its stream is read once, row by row. Sheets with different column
 The first row names the columns: blank headers become ``Unnamed: i``, repeated ones get ``.1``, ``.2``. A column is boolean, timestamp_ntz, long or double if
 all its cells are; a numeric column with blanks is double; anything else is string. ``keepNaStrings=true`` keeps texts such as NA.
 
-Writing: all rows go to one file, so results beyond a sheet belong in Parquet; limits of the format raise an error. Tasks write parts
-next to the target and the driver puts the workbook together at commit. A target that may not be written gets a name
+Writing: tasks write the rows of their partitions side by side, as parts next to the target on its file system, and the driver joins the parts to one workbook at commit, in the order of the
+partitions. A sheet holds a million rows, so results beyond that belong in Parquet; limits of the format raise an error. A target that may not be written gets a name
 with ``_writable_`` and the time, unless ``lockedFallback=false``.
 """
 
@@ -334,11 +334,12 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.parts, exist_ok=True)
-        path, n = f"{self.parts}/{uuid.uuid4().hex}", 0
-        with open(path, "w", encoding="utf-8") as f:
+        system, parts = file_system(self.parts)
+        system.create_dir(parts)
+        path, n = f"{parts}/{uuid.uuid4().hex}", 0
+        with system.open_output_stream(path) as f:
             for row in iterator:
-                f.write("<row>" + "".join(cell_xml(v, self.truncate) for v in row) + "</row>")
+                f.write(("<row>" + "".join(cell_xml(v, self.truncate) for v in row) + "</row>").encode())
                 n += 1
         return _Part(path, n, TaskContext.get().partitionId())
 
@@ -346,8 +347,9 @@ class _Writer(DataSourceWriter):
         rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
         main = MAIN.strip("{}")
-        own = f"{target}.new-{uuid.uuid4().hex}"
-        with zipfile.ZipFile(own, "w", zipfile.ZIP_DEFLATED) as z:
+        system, place = file_system(target)
+        own = f"{place}.new-{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("[Content_Types].xml", head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
             z.writestr("_rels/.rels", head + f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             z.writestr("xl/workbook.xml", head + f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(self.sheet, {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -356,16 +358,16 @@ class _Writer(DataSourceWriter):
             with z.open("xl/worksheets/sheet1.xml", "w") as f:
                 f.write((head + f'<worksheet xmlns="{main}"><sheetData><row>' + "".join(cell_xml(n) for n in self.names) + "</row>").encode())
                 for p in parts:
-                    with open(p.path, "rb") as g:
+                    with system.open_input_stream(p.path) as g:
                         while data := g.read(1 << 20):
                             f.write(data)
                 f.write(b"</sheetData></worksheet>")
         try:
-            if os.path.exists(target) and not os.access(target, os.W_OK):
+            if isinstance(system, fs.LocalFileSystem) and os.path.exists(place) and not os.access(place, os.W_OK):
                 raise PermissionError(target)
-            os.replace(own, target)
+            system.move(own, place)
         except PermissionError:
-            os.unlink(own)
+            system.delete_file(own)
             raise
 
     def commit(self, messages: list) -> None:
@@ -373,7 +375,8 @@ class _Writer(DataSourceWriter):
         try:
             if (n := sum(p.rows for p in parts)) >= MOST_ROWS:
                 raise ValueError(f"{n} rows; a sheet holds {MOST_ROWS - 1} below its header; write Parquet")
-            if os.path.exists(self.path) and not self.overwrite:
+            system, place = file_system(self.path)
+            if system.get_file_info(place).type != fs.FileType.NotFound and not self.overwrite:
                 raise FileExistsError(self.path)
             try:
                 self._book(self.path, parts)
@@ -389,9 +392,9 @@ class _Writer(DataSourceWriter):
         self._clean([m for m in messages if m is not None])
 
     def _clean(self, parts) -> None:
-        import shutil
-
-        shutil.rmtree(self.parts, ignore_errors=True)
+        system, folder = file_system(self.parts)
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
 
 
 def register(spark: SparkSession) -> None:
@@ -423,7 +426,7 @@ def load_excel(spark: SparkSession, path: str, sheet: str | int | None = None, s
 
 def save_excel(df: DataFrame, path: str, sheet: str = "Sheet1", truncate: bool = False) -> None:
     register(df.sparkSession)
-    df.coalesce(1).write.format("xlsx").mode("overwrite").option("sheet", sheet).option("truncate", str(truncate).lower()).save(path)
+    df.write.format("xlsx").mode("overwrite").option("sheet", sheet).option("truncate", str(truncate).lower()).save(path)
 
 
 def require_column(df: DataFrame, column: str) -> None:
