@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 columns of ``documents``. Verdicts are on rows, so a rejected row never takes others with it that share its identifier; rows that are equal in all columns
 have one verdict, and the near-duplicate stage keeps one of them.
 
-A null or empty text is rejected by the first stage, which asks for 50 words; handed to a later one, it is a duplicate of nothing, holds no benchmark window and no secret, and encodes to no ids. Rows with a null identifier or source
+A null or empty text is rejected by the first stage, which asks for 50 words; handed to a later one, it is near to no other, holds no benchmark window and no secret, and encodes to no ids. Rows with a null identifier or source
 are rows like any other. Every stage gives an empty table for an empty one.
 """
 
